@@ -44,8 +44,10 @@ def with_coordinates(
 ) -> DataFrame:
     """``keep`` columns plus x0..x{d-1}; rows with a missing coordinate are left out."""
     xs = coordinates(score, dims)
-    names = [f"x{i}" for i in range(len(xs))]
-    return df.select(*keep, *[x.alias(n) for x, n in zip(xs, names)]).dropna(subset=names)
+    # One condition per coordinate: a single condition over all of them makes
+    # the optimiser try every mix of column and alias.
+    present = reduce(lambda a, b: a & b, [x.isNotNull() for x in xs])
+    return df.filter(present).select(*keep, *[x.alias(f"x{i}") for i, x in enumerate(xs)])
 
 
 def euclidean(a: Sequence[Column], b: Sequence[Column]) -> Column:

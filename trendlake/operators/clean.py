@@ -45,8 +45,10 @@ def cast_columns(
 
 def select_features(df: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "raw_features") -> DataFrame:
     """Keys plus one array of doubles; rows with a missing or unreadable feature are left out."""
-    typed = df.select(*keys, *[F.col(c).try_cast("double").alias(c) for c in features]).dropna(subset=list(features))
-    return typed.select(*keys, F.array(*features).alias(name))
+    typed = [F.col(c).try_cast("double") for c in features]
+    for value in typed:
+        df = df.filter(value.isNotNull())
+    return df.select(*keys, F.array(*typed).alias(name))
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

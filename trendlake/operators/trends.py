@@ -115,7 +115,7 @@ def between_artist_dispersion(
 def _tile_distances(d: int):
     xs = [f"x{i}" for i in range(d)]
 
-    def tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Sum of distances inside one block, or across one pair of blocks."""
         year, low, high = key
         a = pdf.loc[pdf["block"] == low, xs].to_numpy()
@@ -171,7 +171,7 @@ def artist_history_distance(
     before = Window.partitionBy("artist").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     past = sums.select(
         "year", "artist", *[(F.sum(f"s{i}").over(before) / F.sum("n").over(before)).alias(f"c{i}") for i in range(d)]
-    ).dropna()
+    ).filter(F.col("c0").isNotNull())
     dist = rows.join(past, ["year", "artist"]).select("year", euclidean(_xs(d), _xs(d, "c")).alias("distance"))
     return dist.groupBy("year").agg(F.avg("distance").alias("avg_distance"), F.count("*").alias("song_count"))
 
@@ -239,7 +239,7 @@ def innovation_levels(
 
 def levels_long(levels: DataFrame) -> DataFrame:
     """``year, bin, y`` from the wide bin table."""
-    return levels.unpivot(["year"], [c for c in levels.columns if c != "year"], "bin", "y")
+    return levels.unpivot(["year"], [f"`{c}`" for c in levels.columns if c != "year"], "bin", "y")
 
 
 def yearly_values(df: DataFrame, year: str, value: str, as_list: bool = False) -> DataFrame:
