@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.session import materialise
@@ -25,6 +25,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _widened(mark: Column, sign: int) -> Column:
+    """A bracket end moved outwards by far more than the noise of a recomputed sum."""
+    return mark + F.lit(sign * 1e-9) * F.abs(mark)
+
+
 def group_quantiles(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float],
     accuracy: int = 10_000,
@@ -48,7 +53,7 @@ def group_quantiles(
     wanted = F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-            F.col("marks")[2 * i].alias("lo"), F.col("marks")[2 * i + 1].alias("hi"),
+            _widened(F.col("marks")[2 * i], -1).alias("lo"), _widened(F.col("marks")[2 * i + 1], 1).alias("hi"),
             (F.floor(F.lit(float(p)) * (F.col("n") - 1)) + 1).alias("r0"),
             (F.ceil(F.lit(float(p)) * (F.col("n") - 1)) + 1).alias("r1"),
         )

@@ -1 +1,205 @@
-"""Queries."""
+"""Scaling, reduction and clustering queries.
+
+K-means, its sweeps and the hierarchical trees have no SQL counterpart; the
+tests compare them with brute force on small tables instead.
+"""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from trendlake.operators import cluster as C
+from trendlake.operators import dbscan as D
+from trendlake.operators import features as M
+from trendlake.operators import hierarchy as H
+from trendlake.operators.shares import cluster_sizes
+from trendlake.queries.base import DIMS, FEATURES, SPACE_SQL, TRACK_SQL, query, r, rounded, space, table, tracks
+
+
+def _scaled(spark, d, center=False):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
+    out, _ = M.scale(o, ["a", "b"], center=center)
+    v = vector_to_array("scaled")
+    return out.select("id", r(v[0]).alias("a"), r(v[1]).alias("b"))
+
+
+@query("scaled_features", """
+SELECT o_orderkey AS id, round(o_totalprice / stddev_samp(o_totalprice) OVER (), 6) AS a, round(o_custkey / stddev_samp(o_custkey) OVER (), 6) AS b FROM orders""")
+def scaled_features(spark, d):
+    return _scaled(spark, d)
+
+
+@query("scaled_features_centred", """
+SELECT o_orderkey AS id, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 6) + 0.0 AS a,
+       round((o_custkey - avg(o_custkey) OVER ()) / stddev_samp(o_custkey) OVER (), 6) + 0.0 AS b FROM orders""")
+def scaled_features_centred(spark, d):
+    return _scaled(spark, d, center=True)
+
+
+# Two features have a closed-form spectrum, so PCA and SVD can be stated in SQL.
+_EIGEN = """eig AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM m),
+v0 AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS e1, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS e2 FROM eig),
+vec AS (SELECT *, CASE WHEN abs(e1) >= abs(e2) THEN sign(e1) ELSE sign(e2) END AS s1,
+               CASE WHEN abs(e2) >= abs(e1) THEN sign(-e2) ELSE sign(e1) END AS s2 FROM v0),
+load AS (SELECT l1, l2, s1 * e1 AS q1, s1 * e2 AS p1, s2 * -e2 AS q2, s2 * e1 AS p2 FROM vec)"""
+_COV = f"WITH {TRACK_SQL}, m AS (SELECT var_samp(q) AS a, covar_samp(q, p) AS b, var_samp(p) AS c FROM tracks), {_EIGEN}"
+_GRAM = f"WITH {TRACK_SQL}, m AS (SELECT sum(q * q) AS a, sum(q * p) AS b, sum(p * p) AS c FROM tracks), {_EIGEN}"
+_VARIANCE = """SELECT CAST(1 AS INTEGER) AS component, round(l1 / (l1 + l2), 6) AS variance, round(l1 / (l1 + l2), 6) AS cumulative FROM load
+UNION ALL SELECT 2, round(l2 / (l1 + l2), 6), 1.0 FROM load"""
+
+
+def _pair(spark, d):
+    return M.assemble(tracks(spark, d).select("year", "artist", "q", "p"), ["q", "p"], "v")
+
+
+@query("pca_explained_variance", f"{_COV} {_VARIANCE}")
+def pca_explained_variance(spark, d):
+    t = M.fit_pca(_pair(spark, d), "v", 2).table(spark)
+    return rounded(t, ["variance", "cumulative"]).drop("kept")
+
+
+@query("pca_loadings", f"""{_COV}
+SELECT 'q' AS feature, CAST(1 AS INTEGER) AS component, round(q1, 6) AS loading FROM load UNION ALL SELECT 'p', 1, round(p1, 6) FROM load
+UNION ALL SELECT 'q', 2, round(q2, 6) FROM load UNION ALL SELECT 'p', 2, round(p2, 6) FROM load""")
+def pca_loadings(spark, d):
+    return rounded(M.fit_pca(_pair(spark, d), "v", 2).loadings_table(spark, ["q", "p"]), ["loading"])
+
+
+@query("pca_yearly_scores", f"""{_COV}
+SELECT year, round(avg(q * q1 + p * p1), 6) AS pc1, round(avg(q * q2 + p * p2), 6) + 0.0 AS pc2 FROM tracks, load GROUP BY year""")
+def pca_yearly_scores(spark, d):
+    rows = _pair(spark, d)
+    out = M.reduce_rows(rows, M.fit_pca(rows, "v", 2, k=2), "v")
+    return out.groupBy("year").agg(r(F.avg(out.score[0])).alias("pc1"), r(F.avg(out.score[1])).alias("pc2"))
+
+
+@query("pca_scores_centred", f"""{_COV}, c AS (SELECT avg(q) AS mq, avg(p) AS mp FROM tracks)
+SELECT year, round(avg((q - mq) * q1 + (p - mp) * p1), 5) + 0.0 AS pc1 FROM tracks, load, c GROUP BY year""")
+def pca_scores_centred(spark, d):
+    rows = _pair(spark, d)
+    out = M.reduce_rows(rows, M.fit_pca(rows, "v", 2, k=2), "v", center=True)
+    return out.groupBy("year").agg(r(F.avg(out.score[0]), 5).alias("pc1"))
+
+
+@query("svd_explained_share", f"{_GRAM} {_VARIANCE}")
+def svd_explained_share(spark, d):
+    return rounded(M.fit_svd(_pair(spark, d), "v", 2).table(spark), ["variance", "cumulative"]).drop("kept")
+
+
+@query("svd_yearly_scores", f"""{_GRAM}
+SELECT year, round(sum(q * q1 + p * p1) / sqrt(max(l1)), 5) AS u1, round(sum(q * q2 + p * p2) / sqrt(max(l2)), 5) + 0.0 AS u2 FROM tracks, load GROUP BY year""")
+def svd_yearly_scores(spark, d):
+    rows = _pair(spark, d)
+    out = M.reduce_rows(rows, M.fit_svd(rows, "v", 2, k=2), "v")
+    return out.groupBy("year").agg(r(F.sum(out.score[0]), 5).alias("u1"), r(F.sum(out.score[1]), 5).alias("u2"))
+
+
+@query("pca_component_choice")
+def pca_component_choice(spark, d):
+    rows, _ = M.scale(tracks(spark, d), FEATURES)
+    return rounded(M.fit_pca(rows, "scaled", len(FEATURES), 0.9).table(spark), ["variance", "cumulative"])
+
+
+def _scores(spark, d):
+    rows, _ = M.scale(space(spark, d), "score", center=True)
+    return M.reduce_rows(rows.drop("score"), M.fit_pca(rows, "scaled", DIMS, k=4), "scaled").drop("scaled")
+
+
+@query("kmeans_sweep_scores")
+def kmeans_sweep_scores(spark, d):
+    return rounded(C.sweep(_scores(spark, d), "score", range(2, 8), seed=1).table(spark), ["silhouette"])
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark, d):
+    s = _scores(spark, d)
+    return C.sweep(s, "score", [5], seed=1).label(s).select("vec_id", "year", "prediction")
+
+
+@query("kmeans_seed_stability")
+def kmeans_seed_stability(spark, d):
+    return rounded(C.stability_table(C.stable_sweep(_scores(spark, d), "score", range(2, 5), (1, 2)).table(spark)), ["mean_silhouette", "variance"])
+
+
+@query("kmeans_sampled_silhouette")
+def kmeans_sampled_silhouette(spark, d):
+    out = C.sweep(_scores(spark, d), "score", range(2, 5), seed=42, sample_keys=["vec_id"])
+    return rounded(out.table(spark), ["silhouette"])
+
+
+@query("bisecting_kmeans_sweep")
+def bisecting_kmeans_sweep(spark, d):
+    return rounded(C.sweep(_scores(spark, d), "score", range(2, 7), kind="bisecting").table(spark), ["silhouette"])
+
+
+@query("cluster_centres")
+def cluster_centres(spark, d):
+    return rounded(C.sweep(_scores(spark, d), "score", [4], seed=1).centres(spark), ["centre"])
+
+
+@query("features_to_cluster_sizes")
+def features_to_cluster_sizes(spark, d):
+    rows, _ = M.scale(tracks(spark, d), FEATURES)
+    scored = M.reduce_rows(rows, M.fit_pca(rows, "scaled", len(FEATURES), 0.9), "scaled").select("year", "artist", "score")
+    return cluster_sizes(C.sweep(scored, "score", [3], seed=1).label(scored))
+
+
+_DBSCAN = f"""WITH RECURSIVE {SPACE_SQL},
+z AS (SELECT vec_id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM space),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {{eps}} * {{eps}}),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {{m}}),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+comp AS (SELECT a AS id, min(b) AS first FROM reach GROUP BY a),
+num AS (SELECT first, row_number() OVER (ORDER BY first) - 1 AS cluster FROM (SELECT DISTINCT first FROM comp)),
+lab AS (SELECT id, cluster FROM comp JOIN num USING (first)),
+edge AS (SELECT near.a AS id, min(cluster) AS cluster FROM near JOIN lab ON lab.id = near.b WHERE near.a NOT IN (SELECT id FROM core) GROUP BY near.a),
+labels AS (SELECT vec_id, CAST(coalesce(lab.cluster, edge.cluster, -1) AS INTEGER) AS cluster
+           FROM z LEFT JOIN lab ON lab.id = vec_id LEFT JOIN edge ON edge.id = vec_id)"""
+
+
+@query("dbscan_labels", _DBSCAN.format(eps=0.2, m=5) + " SELECT vec_id, cluster FROM labels")
+def dbscan_labels(spark, d):
+    return D.dbscan(space(spark, d), "vec_id", "score", 0.2, 5, DIMS).select("vec_id", "cluster")
+
+
+@query("dbscan_wide_radius", _DBSCAN.format(eps=0.45, m=30) + " SELECT cluster, count(*) AS n FROM labels GROUP BY cluster")
+def dbscan_wide_radius(spark, d):
+    out = D.dbscan(space(spark, d), "vec_id", "score", 0.45, 30, DIMS)
+    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("dbscan_parameter_sweep")
+def dbscan_parameter_sweep(spark, d):
+    return rounded(D.dbscan_sweep(space(spark, d), "vec_id", "score", [0.2, 0.3], [5, 10], DIMS), ["silhouette", "noise_ratio"])
+
+
+@query("hierarchical_ward")
+def hierarchical_ward(spark, d):
+    return H.hierarchical(space(spark, d), "vec_id", "score", "ward", "maxclust", 7, dims=DIMS).select("vec_id", "cluster")
+
+
+@query("hierarchical_distance_cut")
+def hierarchical_distance_cut(spark, d):
+    out = H.hierarchical(space(spark, d), "vec_id", "score", "complete", "distance", dims=DIMS)
+    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("hierarchical_largest_jump")
+def hierarchical_largest_jump(spark, d):
+    out = H.hierarchical(space(spark, d), "vec_id", "score", "average", "jump", dims=DIMS)
+    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("hierarchical_by_year")
+def hierarchical_by_year(spark, d):
+    return H.hierarchical(space(spark, d), "vec_id", "score", "ward", "distance", by=["year"], dims=DIMS).select("year", "vec_id", "cluster")
+
+
+@query("hierarchical_merge_heights")
+def hierarchical_merge_heights(spark, d):
+    return rounded(H.merge_table(space(spark, d), "vec_id", "score", dims=DIMS), ["height"])
+
+
+@query("linkage_comparison")
+def linkage_comparison(spark, d):
+    return H.compare_linkages(space(spark, d), "vec_id", "score", cut="maxclust", n_clusters=5, dims=DIMS)

@@ -39,12 +39,12 @@ def keyed_features_and_scores(spark, d):
 
 @query("centre_join_back", f"""
 WITH {TRACK_SQL}, c AS (SELECT year, artist, avg(p) AS cp FROM tracks GROUP BY year, artist)
-SELECT year, artist, count(*) AS n, round(sum(abs(p - cp)), 4) AS gap FROM tracks JOIN c USING (year, artist) GROUP BY year, artist""")
+SELECT year, artist, count(*) AS n, round(avg(abs(p - cp)), 6) AS gap FROM tracks JOIN c USING (year, artist) GROUP BY year, artist""")
 def centre_join_back(spark, d):
     t = tracks(spark, d)
     c = t.groupBy("year", "artist").agg(F.avg("p").alias("cp"))
     return t.join(c, ["year", "artist"]).groupBy("year", "artist").agg(
-        F.count("*").alias("n"), r(F.sum(F.abs(F.col("p") - F.col("cp"))), 4).alias("gap"))
+        F.count("*").alias("n"), r(F.avg(F.abs(F.col("p") - F.col("cp"))), 6).alias("gap"))
 
 
 @query("labels_onto_all_rows", """
