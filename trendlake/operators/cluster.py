@@ -40,10 +40,9 @@ class Sweep:
     def label(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         """``df`` with its cluster label; every other column stays."""
         names = F.array(*[F.lit(n) for n in self.order()])
-        labelled = self.model.transform(with_vector(df, self.vector))
-        return labelled.withColumn("prediction", F.get(names, F.col("prediction")).cast("int")).withColumnRenamed(
-            "prediction", prediction
-        )
+        rows = with_vector(df.drop(prediction), self.vector)
+        labelled = self.model.transform(rows, {self.model.predictionCol: "_fitted"})
+        return labelled.withColumn(prediction, F.get(names, F.col("_fitted")).cast("int")).drop("_fitted")
 
     def centres(self, spark) -> DataFrame:
         """``prediction, dim, centre``."""
@@ -63,11 +62,10 @@ def with_vector(df: DataFrame, column: str) -> DataFrame:
 
 def silhouette(predictions: DataFrame, vector: str, prediction: str = "prediction") -> float:
     """Squared-Euclidean silhouette over the given rows; -1 where it is undefined (a single cluster)."""
-    evaluator = ClusteringEvaluator(featuresCol=vector, predictionCol=prediction, metricName="silhouette")
-    try:
-        return float(evaluator.evaluate(predictions))
-    except PySparkException:
+    if predictions.select(prediction).distinct().limit(2).count() < 2:
         return -1.0
+    evaluator = ClusteringEvaluator(featuresCol=vector, predictionCol=prediction, metricName="silhouette")
+    return float(evaluator.evaluate(predictions))
 
 
 def _estimator(kind: str, vector: str, k: int, seed: int):

@@ -97,19 +97,22 @@ def fit_svd(df: DataFrame, vector: str, dims: int, threshold: float | None = 0.9
     return Reduction([float(x) for x in share], v / s, _choose(list(share), threshold, k))
 
 
-def _products(values: Sequence[Column], weights: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [v * F.lit(float(w)) for v, w in zip(values, weights)])
+def _products(values: Sequence[Column], weights: np.ndarray, offset: float) -> Column:
+    return reduce(lambda a, b: a + b, [v * F.lit(float(w)) for v, w in zip(values, weights)], F.lit(float(offset)))
 
 
-def project(array: Column, matrix: np.ndarray) -> Column:
-    """Row array times a small matrix, as one array expression."""
+def project(array: Column, matrix: np.ndarray, offset: np.ndarray | None = None) -> Column:
+    """Row array times a small matrix plus an offset, as one array expression."""
     dims, n = matrix.shape
+    offset = np.zeros(n) if offset is None else offset
     if dims * n <= 300:
         values = [F.get(array, F.lit(i)) for i in range(dims)]
-        return F.array(*[_products(values, matrix[:, j]) for j in range(n)])
-    columns = F.array(*[F.array(*[F.lit(float(x)) for x in matrix[:, j]]) for j in range(n)])
+        return F.array(*[_products(values, matrix[:, j], offset[j]) for j in range(n)])
+    columns = F.array(*[
+        F.struct(F.array(*[F.lit(float(x)) for x in matrix[:, j]]).alias("w"), F.lit(float(offset[j])).alias("o")) for j in range(n)
+    ])
     return F.transform(
-        columns, lambda c: F.aggregate(F.zip_with(c, array, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        columns, lambda c: F.aggregate(F.zip_with(c.w, array, lambda a, b: a * b), c.o, lambda s, v: s + v)
     )
 
 
@@ -117,12 +120,11 @@ def reduce_rows(df: DataFrame, fit: Reduction, vector: str, output: str = "score
     """Adds the kept component scores as an array.
 
     Scores are not centred by default, like the library's own transform;
-    ``center`` subtracts the scores of the mean row.
+    ``center`` subtracts the scores of the mean row (one row to the driver).
     """
     matrix = fit.loadings[:, : fit.components]
-    scored = df.withColumn(output, project(vector_to_array(vector), matrix))
-    if not center:
-        return scored
-    mean = df.agg(vector_to_array(Summarizer.mean(F.col(vector))).alias("m"))
-    shift = mean.select(project(F.col("m"), matrix).alias("m")).scalar()
-    return scored.withColumn(output, F.zip_with(output, shift, lambda a, b: a - b))
+    offset = None
+    if center:
+        mean = np.array(df.agg(Summarizer.mean(F.col(vector)).alias("m")).first()["m"].toArray())
+        offset = -(mean @ matrix)
+    return df.withColumn(output, project(vector_to_array(vector), matrix, offset))
