@@ -12,22 +12,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` where the component is its smallest id.
 
     ``nodes`` has ``id``, ``edges`` has ``a, b`` (either direction once). Each
-    round takes the smallest label among the neighbours and then follows the
-    label's own label, so the number of rounds grows with the logarithm of the
-    longest path. Every round is written out, which keeps plans short and
-    survives lost executors.
+    round offers the smallest label among a node's neighbours to the node and
+    to the node its label points at, then follows the label's own label, so the
+    number of rounds grows with the logarithm of the longest path. Every round
+    is written out, which keeps plans short and survives lost executors.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = materialise(nodes.select("id", F.col("id").alias("component")))
     while True:
+        own = labels.select(F.col("id").alias("a"), F.col("component").alias("own"))
+        other = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
         near = (
-            both.join(labels.select(F.col("id").alias("b"), F.col("component")), "b")
-            .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+            both.join(other, "b").join(own, "a")
+            .select(F.explode(F.array("a", "own")).alias("id"), "other")
+            .groupBy("id").agg(F.min("other").alias("near"))
         )
         stepped = labels.join(near, "id", "left").select(
             "id", "component", F.least("component", F.coalesce("near", "component")).alias("next")
         )
-        stepped = materialise(stepped)
+        # The round's two uses of ``stepped`` share its shuffles.
         jump = stepped.select(F.col("id").alias("next"), F.col("next").alias("jump"))
         moved = materialise(
             stepped.join(jump, "next").select("id", F.col("component").alias("before"), F.least("next", "jump").alias("component"))

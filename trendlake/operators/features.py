@@ -127,4 +127,6 @@ def reduce_rows(df: DataFrame, fit: Reduction, vector: str, output: str = "score
     if center:
         mean = np.array(df.agg(Summarizer.mean(F.col(vector)).alias("m")).first()["m"].toArray())
         offset = -(mean @ matrix)
-    return df.withColumn(output, project(vector_to_array(vector), matrix, offset))
+    # The array is a column of its own, so it is built once per row and not once per product.
+    rows = df.withColumn("_values", vector_to_array(vector))
+    return rows.withColumn(output, project(F.col("_values"), matrix, offset)).drop("_values")
