@@ -61,7 +61,7 @@ def read_timed_csv(
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with header, overwriting. One file means one writing task, so it is opt-in."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def labelled_ids(df: DataFrame, cluster: int, label: str, key: str = "id", prediction: str = "prediction") -> DataFrame:
