@@ -122,3 +122,11 @@ def test_hash_sampling_ignores_layout(spark):
 def test_shares_sum_to_one(spark, points):
     s = shares.cluster_share(points.withColumn("prediction", F.col("id") % 5), "year")
     assert all(abs(r["t"] - 1.0) < 1e-12 for r in s.groupBy("year").agg(F.sum("share").alias("t")).collect())
+
+
+def test_numbering_is_consecutive(spark):
+    from trendlake.operators.joins import number_rows
+
+    df = spark.createDataFrame([(f"k{i:04d}",) for i in range(3000)], "k string").repartition(7)
+    got = [(r["k"], r["number"]) for r in number_rows(df, "k").orderBy("k").collect()]
+    assert got == [(f"k{i:04d}", i) for i in range(3000)]

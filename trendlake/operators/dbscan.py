@@ -17,13 +17,14 @@ import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.functions.vectors import with_coordinates
 from trendlake.operators.clean import zscore
 from trendlake.operators.cluster import silhouette
 from trendlake.operators.components import connected_components
+from trendlake.operators.joins import number_rows
 from trendlake.session import materialise
 
 _REACH = 2  # neighbouring cells to look at on each side
@@ -31,9 +32,11 @@ _ROUNDS = 12
 _SALT_ROWS = 50_000
 
 
-def standardized_plane(df: DataFrame, key: str, score: str | Sequence[str], dims: int | None = None, standardize: bool = True) -> DataFrame:
-    """``key, x, y``: the first two dimensions, with mean 0 and sample deviation 1 if asked."""
-    rows = with_coordinates(df, [key], score, max(2, dims or 2)).select(key, F.col("x0").alias("x"), F.col("x1").alias("y"))
+def standardized_plane(
+    df: DataFrame, keep: Sequence[str], score: str | Sequence[str], dims: int | None = None, standardize: bool = True
+) -> DataFrame:
+    """``keep, x, y``: the first two dimensions, with mean 0 and sample deviation 1 if asked."""
+    rows = with_coordinates(df, keep, score, max(2, dims or 2)).select(*keep, F.col("x0").alias("x"), F.col("x1").alias("y"))
     return zscore(rows, ["x", "y"]) if standardize else rows
 
 
@@ -148,7 +151,7 @@ def dbscan(
     their core rows; a border row takes the smallest cluster it touches.
     """
     # Written once: places are joined back by value, so rows must not be scaled anew.
-    plane = materialise(standardized_plane(df, key, score, dims, standardize))
+    plane = materialise(standardized_plane(df, [key], score, dims, standardize))
     # A hair under eps / sqrt(2), so that one cell never spans more than eps.
     side = eps / math.sqrt(2.0) * (1.0 - 1e-9)
     places = plane.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
@@ -171,9 +174,8 @@ def dbscan(
     nodes = cores.select(F.col("cell").alias("id")).distinct()
     parts = connected_components(nodes, _cell_links(cores, side, eps)).withColumnRenamed("id", "cell")
     owned = materialise(cores.join(parts, "cell"))
-    # One row per cluster.
     firsts = owned.groupBy("component").agg(F.min("first_key").alias("k"))
-    numbers = firsts.select("component", (F.row_number().over(Window.orderBy("k")) - 1).cast("int").alias("cluster"))
+    numbers = number_rows(firsts, "k", "cluster").select("component", F.col("cluster").cast("int").alias("cluster"))
     owned = materialise(owned.join(numbers, "component").select("x", "y", "cell", "salt", "cluster"))
 
     border = _around(thin.filter(~F.col("core")), owned, salts, eps, "cluster").groupBy("x", "y").agg(F.min("cluster").alias("cluster"))

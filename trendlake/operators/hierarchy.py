@@ -108,9 +108,9 @@ def _merge_rows(method: str):
 
 def _condensed(plane: DataFrame, key: str, by: list[str], exact_rows: int, micro: int, seed: int) -> DataFrame:
     """Rows with the ``item`` they stand in: themselves, or their micro-cluster in large groups."""
-    sizes = materialise(plane.groupBy(*by).agg((F.count("*") <= exact_rows).alias("small")))
-    rows = null_safe_join(plane, sizes, by) if by else plane.withColumn("small", sizes.scalar())
-    rows = materialise(rows)
+    plane = materialise(plane)
+    sizes = plane.groupBy(*by).agg((F.count("*") <= exact_rows).alias("small"))
+    rows = null_safe_join(plane, materialise(sizes), by) if by else plane.withColumn("small", sizes.scalar())
     small = rows.filter("small").withColumn("item", F.col(key).cast("string"))
     large = rows.filter(~F.col("small"))
     if large.isEmpty():
@@ -140,14 +140,14 @@ def hierarchical(
     key_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     schema = f"{key_schema + ', ' if by else ''}item string, cluster int"
     labels = items.groupBy(*by).applyInPandas(_grouped(by, method, cut, n_clusters), schema)
+    if not by:
+        labels = F.broadcast(labels)  # at most exact_rows or micro rows
     return null_safe_join(rows, labels, [*by, "item"]).select(*by, key, "x", "y", "cluster")
 
 
 def _items(df, key, score, by, dims, standardize, exact_rows, micro, seed):
-    flat = standardized_plane(df, key, score, dims, standardize)
-    if by:
-        flat = flat.join(df.select(key, *by), key)
-    rows = materialise(_condensed(flat, key, by, exact_rows, micro, seed))
+    flat = standardized_plane(df, [*by, key], score, dims, standardize)
+    rows = _condensed(flat, key, by, exact_rows, micro, seed)
     items = rows.groupBy(*by, "item").agg(
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("w"), F.min(key).alias("first_key")
     )

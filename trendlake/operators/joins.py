@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendlake.session import materialise
 from trendlake.sources.files import hash_sample
 
 
@@ -38,10 +39,28 @@ def dense_labels(df: DataFrame, column: str = "prediction", new: str = "new_labe
     return labels.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias(new))
 
 
+def number_rows(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """Consecutive numbers from 0 in the order of a unique column, for tables of any size.
+
+    Rows are range-partitioned and numbered inside each partition; only the
+    partition counts are summed up in one place.
+    """
+    placed = materialise(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    numbered = placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + inside - 1)
+    return numbered.drop("_part", "_start")
+
+
 def sampled_members(df: DataFrame, member: str, fraction: float, seed: int = 0) -> DataFrame:
-    """All rows of a hash-chosen share of the members (semi join on the chosen set)."""
-    chosen = hash_sample(df.select(member).distinct(), [member], fraction, seed)
-    return df.join(chosen, member, "left_semi")
+    """All rows of a hash-chosen share of the members.
+
+    The choice depends on the member alone, so it is a filter: the semi join
+    with the set of chosen members would keep exactly the same rows.
+    """
+    return hash_sample(df.filter(F.col(member).isNotNull()), [member], fraction, seed)
 
 
 def top_per_group(df: DataFrame, group: str, order: Sequence, n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from trendlake.functions.terms import percent
 from trendlake.operators.clean import minmax_long, zscore
 from trendlake.operators.joins import zero_fill
 from trendlake.operators.quantiles import group_quantiles, null_safe_join
+from trendlake.session import materialise
 
 
 def item_counts(df: DataFrame, items: str, item: str = "item", n: int | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def cluster_sizes(df: DataFrame, prediction: str = "prediction") -> DataFrame:
 
 def drop_small_clusters(df: DataFrame, at_least: int, prediction: str = "prediction") -> DataFrame:
     """Rows of clusters with at least that many rows (semi join on the size table)."""
-    big = df.groupBy(prediction).count().filter(F.col("count") >= at_least)
+    big = materialise(df.groupBy(prediction).count().filter(F.col("count") >= at_least).select(prediction))
     return df.join(big, prediction, "left_semi")
 
 
@@ -102,11 +103,11 @@ def box_plot(df: DataFrame, group: str, columns: Sequence[str], whisker: float =
     keys = [group, "metric"]
     q = group_quantiles(df, [group], columns, [0.25, 0.5, 0.75])
     g = lambda i: F.get("q", F.lit(i))
-    fences = q.select(
+    fences = materialise(q.select(
         *keys, "n", g(0).alias("q1"), g(1).alias("median"), g(2).alias("q3"),
         (g(0) - whisker * (g(2) - g(0))).alias("fence_low"),
         (g(2) + whisker * (g(2) - g(0))).alias("fence_high"),
-    )
+    ))
     long = (
         df.select(group, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([group], list(columns), "metric", "value").filter(F.col("value").isNotNull())

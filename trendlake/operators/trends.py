@@ -3,7 +3,7 @@
 Every table here starts from partial sums per (year[, artist]). Year tables
 hold at most 9,999 rows (see ``functions.dates``), so the broadcasts and the
 year-ordered windows below work on a proven bound. Tables per artist have no
-such bound and are joined by shuffle.
+such bound: they are written out and Spark joins them by their real size.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trendlake.functions.dates import valid_year
 from trendlake.functions.terms import bin_labels
 from trendlake.functions.vectors import coordinate_names, coordinates, euclidean, with_coordinates
+from trendlake.session import materialise
 
 Score = str | Sequence[str]
 
@@ -96,7 +97,9 @@ def within_artist_dispersion(
     """
     d = len(coordinates(score, dims))
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
-    centres = _centres(rows, ["year", "artist"], d).filter(F.col("n") >= min_songs).drop("n")
+    # Artists have no bound: written out, the table's real size decides the join,
+    # and a crowded artist can be split because both sides are plain shuffles.
+    centres = materialise(_centres(rows, ["year", "artist"], d).filter(F.col("n") >= min_songs).drop("n"))
     dist = rows.join(centres, ["year", "artist"]).select("year", euclidean(_xs(d), _xs(d, "c")).alias("distance"))
     return _distance_summary(dist, ddof)
 
@@ -169,9 +172,9 @@ def artist_history_distance(
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
     sums = rows.groupBy("year", "artist").agg(*[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], F.count("*").alias("n"))
     before = Window.partitionBy("artist").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    past = sums.select(
+    past = materialise(sums.select(
         "year", "artist", *[(F.sum(f"s{i}").over(before) / F.sum("n").over(before)).alias(f"c{i}") for i in range(d)]
-    ).filter(F.col("c0").isNotNull())
+    ).filter(F.col("c0").isNotNull()))
     dist = rows.join(past, ["year", "artist"]).select("year", euclidean(_xs(d), _xs(d, "c")).alias("distance"))
     return dist.groupBy("year").agg(F.avg("distance").alias("avg_distance"), F.count("*").alias("song_count"))
 

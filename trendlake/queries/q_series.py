@@ -31,11 +31,11 @@ def sum_of_two_counters(spark, d):
 
 
 @query("daily_resample", """
-WITH s AS (SELECT CAST(ts AS DATE) AS ds, sum(value) AS y FROM events WHERE user_id = 8 GROUP BY 1)
+WITH s AS (SELECT CAST(ts AS DATE) AS ds, sum(value) AS y FROM events GROUP BY 1)
 SELECT strftime(g, '%Y-%m-%d') AS ds, round(coalesce(y, 0.0), 4) AS y
 FROM generate_series((SELECT min(ds) FROM s), (SELECT max(ds) FROM s), INTERVAL 1 DAY) t(g) LEFT JOIN s ON s.ds = CAST(g AS DATE)""")
 def daily_resample(spark, d):
-    out = S.daily_sum(table(spark, d, "events").filter("user_id = 8"), "ts", "value")
+    out = S.daily_sum(table(spark, d, "events"), "ts", "value")
     return out.select(F.col("ds").cast("string").alias("ds"), r("y", 4).alias("y"))
 
 
