@@ -17,8 +17,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest path. Every round
     is written out, which keeps plans short and survives lost executors.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialise(nodes.select("id", F.col("id").alias("component")))
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")))
+    labels = nodes.select("id", F.col("id").alias("component"))
     while True:
         own = labels.select(F.col("id").alias("a"), F.col("component").alias("own"))
         other = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))

@@ -25,7 +25,7 @@ from trendlake.operators.clean import zscore
 from trendlake.operators.cluster import silhouette
 from trendlake.operators.components import connected_components
 from trendlake.operators.joins import number_rows
-from trendlake.session import materialise
+from trendlake.session import materialise, side_by_side
 
 _REACH = 2  # neighbouring cells to look at on each side
 _ROUNDS = 12
@@ -191,18 +191,21 @@ def dbscan_sweep(
 
     Noise counts as a label of its own in the silhouette.
     """
-    out = []
-    for eps in eps_values:
-        for m in min_samples_values:
-            labels = materialise(dbscan(df, key, score, eps, m, dims, standardize))
-            figures = labels.agg(
-                F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"),
-                F.avg((F.col("cluster") < 0).cast("int")).alias("noise"),
-            ).first()
-            if figures["clusters"] + (figures["noise"] > 0) < 2:
-                continue
-            rows = labels.select(array_to_vector(F.array("x", "y")).alias("v"), F.col("cluster").cast("double").alias("prediction"))
-            out.append((float(eps), int(m), silhouette(rows, "v"), int(figures["clusters"]), float(figures["noise"])))
+    plane = materialise(standardized_plane(df, [key], score, dims, standardize))
+
+    def score_one(setting):
+        eps, m = setting
+        labels = materialise(dbscan(plane, key, ["x", "y"], eps, m, standardize=False))
+        figures = labels.agg(
+            F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"),
+            F.avg((F.col("cluster") < 0).cast("int")).alias("noise"),
+        ).first()
+        rows = labels.select(array_to_vector(F.array("x", "y")).alias("v"), F.col("cluster").cast("double").alias("prediction"))
+        return float(eps), int(m), silhouette(rows, "v"), int(figures["clusters"]), float(figures["noise"])
+
+    settings = [(eps, m) for eps in eps_values for m in list(min_samples_values)]
+    scored = side_by_side(df.sparkSession, score_one, settings)
+    out = [s for s in scored if s[3] + (s[4] > 0) >= 2]
     return df.sparkSession.createDataFrame(out, "eps double, min_samples int, silhouette double, n_clusters long, noise_ratio double")
 
 

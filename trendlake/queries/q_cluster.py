@@ -168,9 +168,34 @@ def dbscan_wide_radius(spark, d):
     return out.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query("dbscan_parameter_sweep")
+# The same labels for four settings at once, with the squared-distance silhouette over all pairs.
+_SWEEP = f"""WITH RECURSIVE {SPACE_SQL},
+z AS (SELECT vec_id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM space),
+set AS (SELECT eps, m FROM (VALUES (0.2::DOUBLE), (0.3::DOUBLE)) e(eps) CROSS JOIN (VALUES (5), (10)) k(m)),
+near AS (SELECT eps, m, a.vec_id AS a, b.vec_id AS b FROM set, z a, z b WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= eps * eps),
+core AS (SELECT eps, m, a AS id FROM near GROUP BY eps, m, a HAVING count(*) >= m),
+link AS (SELECT eps, m, a, b FROM near SEMI JOIN core c1 ON c1.eps = near.eps AND c1.m = near.m AND c1.id = near.a
+         SEMI JOIN core c2 ON c2.eps = near.eps AND c2.m = near.m AND c2.id = near.b),
+reach(eps, m, a, b) AS (SELECT eps, m, id, id FROM core UNION
+  SELECT r.eps, r.m, r.a, l.b FROM reach r JOIN link l ON l.eps = r.eps AND l.m = r.m AND l.a = r.b),
+lab AS (SELECT eps, m, a AS id, min(b) AS cluster FROM reach GROUP BY eps, m, a),
+edge AS (SELECT n.eps, n.m, n.a AS id, min(cluster) AS cluster FROM near n JOIN lab l ON l.eps = n.eps AND l.m = n.m AND l.id = n.b GROUP BY n.eps, n.m, n.a),
+labels AS (SELECT set.eps, set.m, z.vec_id AS id, x, y, coalesce(lab.cluster, edge.cluster, -1) AS cluster
+  FROM set CROSS JOIN z LEFT JOIN lab ON lab.eps = set.eps AND lab.m = set.m AND lab.id = z.vec_id
+  LEFT JOIN edge ON edge.eps = set.eps AND edge.m = set.m AND edge.id = z.vec_id),
+far AS (SELECT p.eps, p.m, p.id, p.cluster AS own, o.cluster AS other, sum(pow(p.x - o.x, 2) + pow(p.y - o.y, 2)) AS d, count(*) AS n
+        FROM labels p JOIN labels o ON o.eps = p.eps AND o.m = p.m GROUP BY ALL),
+ab AS (SELECT eps, m, id, max(n) FILTER (WHERE own = other) AS size, max(d / nullif(n - 1, 0)) FILTER (WHERE own = other) AS a,
+              min(d / n) FILTER (WHERE own <> other) AS b FROM far GROUP BY eps, m, id),
+sil AS (SELECT eps, m, avg(CASE WHEN size = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY eps, m)
+SELECT labels.eps, CAST(labels.m AS INTEGER) AS min_samples, round(max(silhouette), 5) AS silhouette,
+       count(DISTINCT cluster) FILTER (WHERE cluster >= 0) AS n_clusters, round(avg(CASE WHEN cluster < 0 THEN 1.0 ELSE 0.0 END), 5) AS noise_ratio
+FROM labels JOIN sil ON sil.eps = labels.eps AND sil.m = labels.m GROUP BY labels.eps, labels.m"""
+
+
+@query("dbscan_parameter_sweep", _SWEEP)
 def dbscan_parameter_sweep(spark, d):
-    return rounded(D.dbscan_sweep(space(spark, d), "vec_id", "score", [0.2, 0.3], [5, 10], DIMS), ["silhouette", "noise_ratio"])
+    return rounded(D.dbscan_sweep(space(spark, d), "vec_id", "score", [0.2, 0.3], [5, 10], DIMS), ["silhouette", "noise_ratio"], 5)
 
 
 @query("hierarchical_ward")

@@ -6,7 +6,7 @@ from trendlake.functions.dates import year_of
 from trendlake.operators import forecast as R
 from trendlake.operators.shares import cluster_share
 from trendlake.plans import flows
-from trendlake.queries.base import FEATURES, LITERAL_SQL, literals, query, r, rounded, scratch, table, tracks
+from trendlake.queries.base import FEATURES, LITERAL_SQL, TRACK_SQL, literals, query, r, rounded, scratch, table, tracks
 from trendlake.sources.files import TRACK_RAW_COLUMNS, write_csv
 
 
@@ -43,7 +43,28 @@ def tracks_to_cluster_shares(spark, d):
     return rounded(cluster_share(out.rows, "year"), ["share"])
 
 
-@query("yearly_measures_side_by_side")
+_D = "sqrt(pow(q - cq, 2) + pow(p - cp, 2) + pow(d - cd, 2) + pow(t - ct, 2))"
+_MEAN = "avg(q) AS cq, avg(p) AS cp, avg(d) AS cd, avg(t) AS ct"
+
+
+@query("yearly_measures_side_by_side", f"""
+WITH {TRACK_SQL}, c AS (SELECT year, {_MEAN} FROM tracks GROUP BY year),
+disp AS (SELECT year, avg({_D}) AS avg_distance, stddev_samp({_D}) AS std_distance, stddev_samp({_D}) / sqrt(count(*)) AS se_distance,
+                count(*) AS song_count FROM tracks JOIN c USING (year) GROUP BY year),
+a AS (SELECT year, artist, {_MEAN} FROM tracks GROUP BY year, artist),
+within AS (SELECT year, avg({_D}) AS within_artist FROM tracks JOIN a USING (year, artist) GROUP BY year),
+ar AS (SELECT year, cq AS q, cp AS p, cd AS d, ct AS t FROM a), ac AS (SELECT year, {_MEAN} FROM ar GROUP BY year),
+between_a AS (SELECT year, avg({_D}) AS between_artist FROM ar JOIN ac USING (year) GROUP BY year),
+s AS (SELECT year, count(*) AS n, sum(q) AS q, sum(p) AS p, sum(d) AS d, sum(t) AS t FROM tracks GROUP BY year),
+h AS (SELECT year, q / n AS q, p / n AS p, d / n AS d, t / n AS t, sum(q) OVER w / sum(n) OVER w AS cq, sum(p) OVER w / sum(n) OVER w AS cp,
+             sum(d) OVER w / sum(n) OVER w AS cd, sum(t) OVER w / sum(n) OVER w AS ct FROM s
+      WINDOW w AS (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+novel AS (SELECT year, {_D} AS between_year FROM h),
+mv AS (SELECT year, cq AS cx, cp AS cy, sqrt(pow(cq - lag(cq) OVER (ORDER BY year), 2) + pow(cp - lag(cp) OVER (ORDER BY year), 2)) AS step FROM c)
+SELECT year, song_count, round(avg_distance, 6) AS avg_distance, round(std_distance, 6) AS std_distance, round(se_distance, 6) AS se_distance,
+       round(within_artist, 6) AS within_artist, round(between_artist, 6) AS between_artist, round(avg_distance, 6) AS within_year,
+       round(between_year, 6) AS between_year, round(cx, 6) AS cx, round(cy, 6) AS cy, round(step, 6) AS step
+FROM disp JOIN within USING (year) JOIN between_a USING (year) JOIN novel USING (year) JOIN mv USING (year)""")
 def yearly_measures_side_by_side(spark, d):
     t = tracks(spark, d).withColumn("features", F.array(*FEATURES))
     out = flows.yearly_measures(t, len(FEATURES))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,12 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/trendlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable, parallelism: int = 4) -> list:
+    """``work`` for every item, a few at a time, in order: independent fits share the cluster."""
+    items = list(items)
+    if len(items) < 2 or parallelism < 2:
+        return [work(i) for i in items]
+    with ThreadPool(min(parallelism, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
