@@ -58,7 +58,7 @@ def test_quantiles_are_exact(spark, values, accuracy):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     want = np.quantile([v for v in values if v is not None], probs)
     for by in ([], ["g"]):
-        row = group_quantiles(df, by, ["v"], probs, accuracy).first()
+        row = group_quantiles(df, by, ["v"], probs, accuracy=accuracy).first()
         assert row["q"] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
 

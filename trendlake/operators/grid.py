@@ -124,15 +124,12 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30, standardiz
 
 def histogram_centres(df: DataFrame, columns: Sequence[str], standardize: bool = True) -> DataFrame:
     """``metric, mean, median`` that mark a histogram (of the z-scores if ``standardize``)."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    figures = rows.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(c) for c in columns])
-    figures = figures.unpivot([], list(columns), "metric", "f")
-    medians = group_quantiles(rows, [], columns, [0.5]).select("metric", F.get("q", F.lit(0)).alias("median"))
-    both = figures.join(medians, "metric")
+    spread = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")]
+    both = group_quantiles(df, [], columns, [0.5], extra=spread).withColumn("median", F.get("q", F.lit(0)))
     if not standardize:
-        return both.select("metric", F.col("f.mean").alias("mean"), "median")
+        return both.select("metric", "mean", "median")
     # Scaling keeps the order of values, so the median is scaled after it is found.
     return both.select(
-        "metric", F.when(F.col("f.sd") > 0, F.lit(0.0)).alias("mean"),
-        F.try_divide(F.col("median") - F.col("f.mean"), F.col("f.sd")).alias("median"),
+        "metric", F.when(F.col("sd") > 0, F.lit(0.0)).alias("mean"),
+        F.try_divide(F.col("median") - F.col("mean"), F.col("sd")).alias("median"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trendlake.functions.dates import parse_date
 from trendlake.functions.terms import percent
-from trendlake.operators.quantiles import group_quantiles, null_safe_join
+from trendlake.operators.quantiles import group_quantiles
 
 
 def examine(df: DataFrame, contains: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -72,21 +72,18 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, 25%, 50%, 75%, max per column, for all rows or per group."""
+    """count, mean, std, min, 25%, 50%, 75%, max per column, for all rows or per group.
+
+    Groups and columns without any value have no row.
+    """
     by = list(by)
-    keys = [*by, "metric"]
-    basics = (
-        df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(by, list(columns), "metric", "value")
-        .groupBy(*keys)
-        .agg(
-            F.count("value").alias("count"), F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        )
-    )
-    quartiles = group_quantiles(df, by, columns, [0.25, 0.5, 0.75])
-    return null_safe_join(basics, quartiles.drop("n"), keys, "left").select(
-        *keys, "count", "mean", "std", "min",
+    basics = [
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    ]
+    figures = group_quantiles(df, by, columns, [0.25, 0.5, 0.75], extra=basics)
+    return figures.select(
+        *by, "metric", F.col("n").alias("count"), "mean", "std", "min",
         F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"),
         F.get("q", F.lit(2)).alias("p75"), "max",
     )

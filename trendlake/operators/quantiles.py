@@ -32,9 +32,12 @@ def _widened(mark: Column, sign: int) -> Column:
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float],
-    accuracy: int = 10_000,
+    extra: Sequence[Column] = (), accuracy: int = 10_000,
 ) -> DataFrame:
-    """``by``, ``metric``, ``n`` and array ``q`` (one entry per probability), missing values ignored."""
+    """``by``, ``metric``, ``n`` and array ``q`` (one entry per probability), missing values ignored.
+
+    ``extra`` are further aggregates of ``value``, computed in the bracketing pass.
+    """
     by = list(by)
     keys = [*by, "metric"]
     long = (
@@ -45,7 +48,7 @@ def group_quantiles(
     slack = 2.0 / accuracy
     marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
     stats = long.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("value", marks, accuracy).alias("marks")
+        F.count("*").alias("n"), F.percentile_approx("value", marks, accuracy).alias("marks"), *extra
     )
     if by:
         # The number of groups is unknown: written out, its real size decides the join.
@@ -59,12 +62,12 @@ def group_quantiles(
         )
         for i, p in enumerate(probs)
     ])
-    stats = stats.select(*keys, "n", wanted.alias("wanted"))
+    brackets = stats.select(*keys, "n", wanted.alias("wanted"))
     if not by:
-        stats = F.broadcast(stats)  # one row per named column
+        brackets = F.broadcast(brackets)  # one row per named column
 
     rows = (
-        null_safe_join(long, stats, keys)
+        null_safe_join(long, brackets, keys)
         .select(*keys, "value", "n", F.explode("wanted").alias("w"))
         .select(*keys, "value", "n", "w.*")
         .withColumn("zone", F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0))
@@ -95,4 +98,5 @@ def group_quantiles(
     per_group = found.groupBy(*keys, "n").agg(
         F.array_sort(F.collect_list(F.struct("i", value.alias("q")))).alias("pairs")
     )
-    return per_group.select(*keys, "n", F.col("pairs.q").alias("q"))
+    quantiles = per_group.select(*keys, "n", F.col("pairs.q").alias("q"))
+    return null_safe_join(stats.drop("n", "marks"), quantiles, keys) if extra else quantiles
