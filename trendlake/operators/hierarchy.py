@@ -8,10 +8,12 @@ is dropped or sampled, but for condensed groups the tree is approximate.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,6 +23,10 @@ from trendlake.operators.dbscan import standardized_plane
 from trendlake.operators.quantiles import null_safe_join
 from trendlake.session import materialise
 
+# The merge loop travels inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_CELLS_PER_DEVIATION = 128
 METHODS = ("ward", "complete", "average", "single")
 CUTS = ("maxclust", "jump", "distance")
 
@@ -115,10 +121,16 @@ def _condensed(plane: DataFrame, key: str, by: list[str], exact_rows: int, micro
     large = rows.filter(~F.col("small"))
     if large.isEmpty():
         return small.drop("small")
-    vectors = large.withColumn("_v", array_to_vector(F.array("x", "y")))
-    model = KMeans(featuresCol="_v", predictionCol="_m", k=micro, seed=seed).fit(vectors.select("_v"))
-    placed = model.transform(vectors).withColumn("item", F.concat(F.lit("micro "), F.col("_m").cast("string")))
-    return small.unionByName(placed.select(*small.columns)).drop("small")
+    # Rows are first gathered into cells a small part of a deviation wide, so
+    # k-means passes over weighted cells and not over rows.
+    spread = large.agg(F.struct(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).alias("s")).first()["s"]
+    cell = lambda c: F.floor(F.col(c) / F.lit((spread[c] or 1.0) / _CELLS_PER_DEVIATION)).alias(f"_{c}")
+    placed = large.select("*", cell("x"), cell("y"))
+    cells = materialise(placed.groupBy("_x", "_y").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
+    vectors = cells.withColumn("_v", array_to_vector(F.array("x", "y")))
+    model = KMeans(featuresCol="_v", predictionCol="_m", weightCol="n", k=micro, seed=seed).fit(vectors.select("_v", "n"))
+    named = model.transform(vectors).select("_x", "_y", F.concat(F.lit("micro "), F.col("_m").cast("string")).alias("item"))
+    return small.unionByName(placed.join(materialise(named), ["_x", "_y"]).select(*small.columns)).drop("small")
 
 
 def hierarchical(
