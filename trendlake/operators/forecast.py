@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trendlake.functions.terms import bin_labels, days_since_epoch, fourier_terms, ramp_from, step_from
 from trendlake.operators.series import accuracy, attach_regressors, event_windows
 from trendlake.operators.trends import innovation_levels
+from trendlake.session import materialise
 from trendlake.sources.files import hash_split
 
 
@@ -137,6 +138,8 @@ def design_columns(
 
 def fit(train: DataFrame, design: Design, calendar: DataFrame | None = None, level: float = 0.8) -> Fitted:
     """Fit on rows with ``ds, y`` and the regressors. Terms that never vary in training are left out."""
+    # A series is short but may be the sum of a very large table: computed once.
+    train = materialise(train)
     day = days_since_epoch("ds")
     ends = train.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
     span = (float(ends["a"]), float(ends["b"]))
@@ -182,6 +185,7 @@ def forecast_with_regressors(
 
 def fit_levels(levels: DataFrame, edges: Sequence[float], design: Design, calendar: DataFrame | None = None) -> dict[str, Fitted]:
     """One model per distance bin of a yearly level table."""
+    levels = materialise(levels)
     return {label: fit(level_series(levels, label), design, calendar) for _, _, label in bin_labels(edges)}
 
 
@@ -207,10 +211,11 @@ def half_split_replication(
 ) -> DataFrame:
     """``range, r, r2, mae, n``: models fitted on one half of the rows, checked against the other half's counts."""
     a, b = hash_split(df, keys, 0.5, seed)
-    levels = [innovation_levels(half, score, edges, distance, dims, year) for half in (a, b)]
+    first, second = (innovation_levels(half, score, edges, distance, dims, year) for half in (a, b))
+    second = materialise(second)
     out = None
-    for label, m in fit_levels(levels[0], edges, design).items():
-        seen = level_series(levels[1], label)
+    for label, m in fit_levels(first, edges, design).items():
+        seen = level_series(second, label)
         row = accuracy(m.predict(seen).join(seen, "ds")).select(F.lit(label).alias("range"), "*")
         out = row if out is None else out.union(row)
     return out

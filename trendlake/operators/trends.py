@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trendlake.functions.dates import valid_year
 from trendlake.functions.terms import bin_labels
-from trendlake.functions.vectors import coordinate_names, coordinates, euclidean, with_coordinates
+from trendlake.functions.vectors import coordinate_names, dimension, euclidean, with_coordinates
 from trendlake.session import materialise
 
 Score = str | Sequence[str]
@@ -27,20 +27,16 @@ def _rows(df: DataFrame, score: Score, dims: int | None, year: str, extra: Seque
     return with_coordinates(df.filter(valid_year(year)), [F.col(year).cast("int").alias("year"), *extra], score, dims)
 
 
-def _xs(d: int, prefix: str = "x") -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(d)]
-
-
 def _centres(rows: DataFrame, by: Sequence[str], d: int, prefix: str = "c") -> DataFrame:
     return rows.groupBy(*by).agg(
-        *[F.avg(f"x{i}").alias(f"{prefix}{i}") for i in range(d)], F.count("*").alias("n")
+        *[F.expr(f"avg(x{i}) AS {prefix}{i}") for i in range(d)], F.count("*").alias("n")
     )
 
 
 def _with_year_distance(rows: DataFrame, d: int, extra: Sequence[str] = ()) -> DataFrame:
     """Rows with their distance to the centre of their year."""
     centre = F.broadcast(_centres(rows, ["year"], d).drop("n"))
-    return rows.join(centre, "year").select("year", *extra, euclidean(_xs(d), _xs(d, "c")).alias("distance"))
+    return rows.join(centre, "year").select("year", *extra, euclidean(d).alias("distance"))
 
 
 def _spread(std: str, ddof: int) -> Column:
@@ -73,7 +69,7 @@ def yearly_dispersion(
     df: DataFrame, score: Score, dims: int | None = None, year: str = "year", ddof: int = 1
 ) -> DataFrame:
     """year -> mean, deviation and standard error of the distance to the year's centre, and rows."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     dist = _with_year_distance(_rows(df, score, dims, year), d)
     return _distance_summary(dist, ddof)
 
@@ -95,12 +91,12 @@ def within_artist_dispersion(
 
     ``min_songs=2`` leaves out artists with a single row that year, who would count as 0.
     """
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
     # Artists have no bound: written out, the table's real size decides the join,
     # and a crowded artist can be split because both sides are plain shuffles.
     centres = materialise(_centres(rows, ["year", "artist"], d).filter(F.col("n") >= min_songs).drop("n"))
-    dist = rows.join(centres, ["year", "artist"]).select("year", euclidean(_xs(d), _xs(d, "c")).alias("distance"))
+    dist = rows.join(centres, ["year", "artist"]).select("year", euclidean(d).alias("distance"))
     return _distance_summary(dist, ddof)
 
 
@@ -108,7 +104,7 @@ def between_artist_dispersion(
     df: DataFrame, score: Score, dims: int | None = None, year: str = "year", artist: str = "artist", ddof: int = 1
 ) -> DataFrame:
     """year -> distance of artist centres to the mean of that year's artist centres."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
     artists = _centres(rows, ["year", "artist"], d, "x").drop("n")
     out = _distance_summary(_with_year_distance(artists, d), ddof)
@@ -147,7 +143,7 @@ def between_artist_pairwise(
     returns a single partial sum, so a year with very many artists becomes
     many tasks of bounded size.
     """
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
     artists = _centres(rows, ["year", "artist"], d, "x").drop("n")
     per_year = F.broadcast(artists.groupBy("year").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")))
@@ -168,14 +164,14 @@ def artist_history_distance(
     df: DataFrame, score: Score, dims: int | None = None, year: str = "year", artist: str = "artist"
 ) -> DataFrame:
     """year -> mean distance of rows to the centre of the same artist's strictly earlier years."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
-    sums = rows.groupBy("year", "artist").agg(*[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], F.count("*").alias("n"))
+    sums = rows.groupBy("year", "artist").agg(*[F.expr(f"sum(x{i}) AS s{i}") for i in range(d)], F.count("*").alias("n"))
     before = Window.partitionBy("artist").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     past = materialise(sums.select(
         "year", "artist", *[(F.sum(f"s{i}").over(before) / F.sum("n").over(before)).alias(f"c{i}") for i in range(d)]
     ).filter(F.col("c0").isNotNull()))
-    dist = rows.join(past, ["year", "artist"]).select("year", euclidean(_xs(d), _xs(d, "c")).alias("distance"))
+    dist = rows.join(past, ["year", "artist"]).select("year", euclidean(d).alias("distance"))
     return dist.groupBy("year").agg(F.avg("distance").alias("avg_distance"), F.count("*").alias("song_count"))
 
 
@@ -183,27 +179,27 @@ def historical_centres(
     df: DataFrame, score: Score, dims: int | None = None, year: str = "year"
 ) -> DataFrame:
     """year, n, c* (centre of the year), h* (centre of all strictly earlier rows, null in the first year)."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     return _historical(_rows(df, score, dims, year), d)
 
 
 def _historical(rows: DataFrame, d: int) -> DataFrame:
-    sums = rows.groupBy("year").agg(*[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], F.count("*").alias("n"))
+    sums = rows.groupBy("year").agg(*[F.expr(f"sum(x{i}) AS s{i}") for i in range(d)], F.count("*").alias("n"))
     before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(
         "year", "n",
-        *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(d)],
+        *[F.expr(f"s{i} / n AS c{i}") for i in range(d)],
         *[(F.sum(f"s{i}").over(before) / F.sum("n").over(before)).alias(f"h{i}") for i in range(d)],
     )
 
 
 def yearly_innovation(df: DataFrame, score: Score, dims: int | None = None, year: str = "year") -> DataFrame:
     """within = mean distance to the year's centre; between = that centre to the centre of all earlier rows."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year)
     c = F.broadcast(_historical(rows, d))
-    own = euclidean(_xs(d), _xs(d, "c"))
-    between = euclidean(_xs(d, "c"), _xs(d, "h"))
+    own = euclidean(d)
+    between = euclidean(d, "c", "h")
     # The year's own figures are constant in a group: max reads them off.
     return rows.join(c, "year").groupBy("year").agg(F.avg(own).alias("within_year"), F.max(between).alias("between_year"))
 
@@ -212,13 +208,13 @@ def row_distances(
     df: DataFrame, score: Score, dims: int | None = None, year: str = "year", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Every row with its distance to the current and to the historical centre."""
-    d = len(coordinates(score, dims))
+    d = dimension(score, dims)
     rows = _rows(df, score, dims, year, keep)
     c = F.broadcast(_historical(rows, d))
     return rows.join(c, "year").select(
         "year", *keep,
-        euclidean(_xs(d), _xs(d, "c")).alias("current_distance"),
-        euclidean(_xs(d), _xs(d, "h")).alias("historical_distance"),
+        euclidean(d).alias("current_distance"),
+        euclidean(d, "x", "h").alias("historical_distance"),
     )
 
 
