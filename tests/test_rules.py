@@ -24,3 +24,16 @@ def test_plan_prunes_columns(spark):
 
     plan = QUERIES["yearly_dispersion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "CartesianProduct" not in plan
+
+
+def test_task_code_needs_no_installed_package():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from trendlake.operators import hierarchy, trends
+
+    for fn in (hierarchy._grouped(["g"], "ward", "jump", None), hierarchy._merge_rows("single"), trends._tile_distances(2)):
+        load = "import sys, pickle; pickle.load(sys.stdin.buffer)"
+        subprocess.run([sys.executable, "-I", "-c", load], input=cloudpickle.dumps(fn), cwd="/", check=True, timeout=120)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.functions.dates import date_parts
@@ -19,17 +19,21 @@ def _window(order: str, by: Sequence[str], before: int, after: int):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(before, after)
 
 
+def hour_start(ts: str) -> Column:
+    """The hour a time falls in, in the type of the column and whatever the session time zone."""
+    rest = F.make_dt_interval(mins=F.minute(ts), secs=F.extract(F.lit("SECOND"), F.col(ts)))
+    return F.col(ts) - rest
+
+
 def hourly(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), name: str = "y") -> DataFrame:
     """Sum per hour and series."""
-    hour = F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz")
-    return df.groupBy(*by, hour.alias("ts")).agg(F.sum(value).alias(name))
+    return df.groupBy(*by, hour_start(ts).alias("ts")).agg(F.sum(value).alias(name))
 
 
 def hourly_counters(df: DataFrame, ts: str, kind: str, value: str, kinds: Mapping[str, str]) -> DataFrame:
     """One column per counter (``name -> kind``), null in hours it has no rows."""
-    hour = F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz")
     cols = [F.sum(F.when(F.col(kind) == k, F.col(value))).alias(n) for n, k in kinds.items()]
-    return df.filter(F.col(kind).isin(list(kinds.values()))).groupBy(hour.alias("ts")).agg(*cols)
+    return df.filter(F.col(kind).isin(list(kinds.values()))).groupBy(hour_start(ts).alias("ts")).agg(*cols)
 
 
 def daily_sum(df: DataFrame, ts: str, value: str, by: Sequence[str] = (), name: str = "y") -> DataFrame:

@@ -7,6 +7,7 @@ tests compare them with brute force on small tables instead.
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from trendlake.functions.vectors import euclidean_arrays
 from trendlake.operators import cluster as C
 from trendlake.operators import dbscan as D
 from trendlake.operators import features as M
@@ -115,6 +116,20 @@ def kmeans_labels(spark, d):
     return C.sweep(s, "score", [5], seed=1).label(s).select("vec_id", "year", "prediction")
 
 
+@query("kmeans_nearest_centres", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS misplaced FROM embeddings")
+def kmeans_nearest_centres(spark, d):
+    """Rows whose label is not that of the nearest centre: there are none."""
+    s = _scores(spark, d)
+    best = C.sweep(s, "score", [5], seed=1)
+    centres = best.centres(spark).groupBy("prediction").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "centre"))), lambda p: p.centre).alias("centre"))
+    every = centres.agg(F.collect_list(F.struct("prediction", "centre")).alias("c")).scalar()
+    near = best.label(s.withColumn("values", F.col("score")).withColumn("c", F.explode(every)))
+    near = near.select("vec_id", "prediction", euclidean_arrays("values", "c.centre").alias("gap"), F.col("c.prediction").alias("other"))
+    nearest = near.groupBy("vec_id", "prediction").agg(F.min_by("other", "gap").alias("nearest"))
+    return nearest.agg(F.count("*").alias("rows"), F.count_if(F.col("nearest") != F.col("prediction")).alias("misplaced"))
+
+
 @query("kmeans_seed_stability")
 def kmeans_seed_stability(spark, d):
     return rounded(C.stability_table(C.stable_sweep(_scores(spark, d), "score", range(2, 5), (1, 2)).table(spark)), ["mean_silhouette", "variance"])
@@ -203,6 +218,12 @@ def hierarchical_ward(spark, d):
     return H.hierarchical(space(spark, d), "vec_id", "score", "ward", "maxclust", 7, dims=DIMS).select("vec_id", "cluster")
 
 
+@query("hierarchical_label_totals", "SELECT count(*) AS rows, CAST(7 AS BIGINT) AS clusters FROM embeddings")
+def hierarchical_label_totals(spark, d):
+    out = H.hierarchical(space(spark, d), "vec_id", "score", "complete", "maxclust", 7, dims=DIMS)
+    return out.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"))
+
+
 @query("hierarchical_distance_cut")
 def hierarchical_distance_cut(spark, d):
     out = H.hierarchical(space(spark, d), "vec_id", "score", "complete", "distance", dims=DIMS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trendlake.operators import forecast as R
 from trendlake.operators import series as S
 from trendlake.operators.trends import innovation_levels
-from trendlake.queries.base import DIMS, query, r, rounded, space, table
+from trendlake.queries.base import DIMS, query, rounded, space, table
 from trendlake.queries.q_series import daily_orders
 
 _FIT = """d AS (SELECT CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1),
@@ -68,11 +68,11 @@ def forecast_components(spark, d):
 
 @query("forecast_accuracy_by_split", f"""
 WITH {_FIT}, v AS (SELECT CASE WHEN year(ds) < 2000 THEN 'train' ELSE 'test' END AS split, y, greatest(b0 + bt * t + bs * s, 0) AS yhat FROM x, f)
-SELECT split, round(avg(abs(yhat - y)), 5) AS mae, count(*) AS n FROM v GROUP BY split""")
+SELECT split, round(corr(yhat, y), 5) AS r, round(pow(corr(yhat, y), 2), 5) AS r2, round(avg(abs(yhat - y)), 5) AS mae, count(*) AS n FROM v GROUP BY split""")
 def forecast_accuracy_by_split(spark, d):
     daily, train, _ = _parts(spark, d)
     v = S.with_split(S.verification(R.fit(train, _DESIGN).predict(daily), daily), "ds", 2000)
-    return S.accuracy(v, ["split"]).select("split", r("mae", 5).alias("mae"), "n")
+    return rounded(S.accuracy(v, ["split"]), ["r", "r2", "mae"], 5)
 
 
 def _calendar(spark, d):

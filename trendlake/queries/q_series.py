@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trendlake.operators import profile as P
 from trendlake.operators import series as S
 from trendlake.operators.clean import add_counters
+from trendlake.operators.grid import histograms
 from trendlake.queries.base import query, r, rounded, table
 
 _HOURLY = """hourly AS (SELECT date_trunc('hour', ts) AS ts, sum(value) AS y FROM events GROUP BY 1)"""
@@ -74,8 +75,7 @@ WITH h AS (SELECT date_trunc('hour', ts) AS ts, sum(value) AS y, CAST(count(*) A
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(CASE WHEN count(*) OVER w >= 90 THEN corr(yhat, y) OVER w END, 6) AS rolling_r FROM h
 WINDOW w AS (ORDER BY h.ts ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING)""")
 def rolling_correlation(spark, d):
-    hour = F.date_trunc("HOUR", F.col("ts")).cast("timestamp_ntz")
-    h = table(spark, d, "events").groupBy(hour.alias("ts")).agg(F.sum("value").alias("y"), F.count("*").cast("double").alias("yhat"))
+    h = table(spark, d, "events").groupBy(S.hour_start("ts").alias("ts")).agg(F.sum("value").alias("y"), F.count("*").cast("double").alias("yhat"))
     return _ts(S.rolling_corr(h, "ts", "yhat", "y", 90)).select("ts", r("rolling_r").alias("rolling_r"))
 
 
@@ -198,6 +198,17 @@ def predicted_against_observed(spark, d):
     return rounded(S.fit_line(daily_orders(spark, d)), ["slope", "intercept", "r", "r2"])
 
 
+@query("forecast_histograms", f"""
+WITH {_DAILY}, v AS (SELECT 'y' AS metric, y AS v FROM daily UNION ALL SELECT 'yhat', yhat FROM daily UNION ALL SELECT 'residual', yhat - y FROM daily),
+l AS (SELECT metric, min(v) AS lo, max(v) AS hi FROM v GROUP BY metric),
+c AS (SELECT metric, least(floor((v - lo) / (hi - lo) * 30), 29) AS bin, count(*) AS n FROM v JOIN l USING (metric) GROUP BY ALL)
+SELECT l.metric, CAST(b AS INTEGER) AS bin, round(lo + (hi - lo) / 30 * b, 5) + 0.0 AS bin_low, round(lo + (hi - lo) / 30 * (b + 1), 5) + 0.0 AS bin_high,
+       coalesce(n, 0) AS count FROM l CROSS JOIN range(30) r(b) LEFT JOIN c ON c.metric = l.metric AND c.bin = b""")
+def forecast_histograms(spark, d):
+    daily = daily_orders(spark, d).withColumn("residual", F.col("yhat") - F.col("y"))
+    return rounded(histograms(daily, ["y", "yhat", "residual"], 30, standardize=False), ["bin_low", "bin_high"], 5)
+
+
 @query("regressors_on_daily_series", """
 WITH daily AS (SELECT CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1),
 w AS (SELECT CAST(l_shipdate AS DATE) AS ds, avg(l_quantity) AS temp, avg(l_discount) AS rain FROM lineitem
