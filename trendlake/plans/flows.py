@@ -44,7 +44,7 @@ class Clustered:
 def tracks_to_clusters(
     tracks: DataFrame, features: Sequence[str], date: str, start: str, end: str, threshold: float = 0.95,
     ks: Sequence[int] = range(2, 8), seed: int = 1, min_cluster: int = 10_000,
-    first_year: int | None = None, last_year: int | None = None,
+    first_year: int | None = None, last_year: int | None = None, partitions: int | None = None,
 ) -> Clustered:
     """Clean, scale, reduce and cluster with the keys kept, then drop small clusters and years out of range."""
     rows = clean.date_range(clean.drop_incomplete(tracks), date, start, end)
@@ -52,7 +52,7 @@ def tracks_to_clusters(
     fit = fit_pca(scaled, "scaled", len(features), threshold)
     # Read by every k-means pass: written once.
     scored = materialise(reduce_rows(scaled, fit, "scaled", "features").drop("scaled"))
-    best = sweep(scored, "features", ks, seed)
+    best = sweep(scored, "features", ks, seed, partitions=partitions)
     labelled = best.label(scored.withColumn("_scores", F.col("features"))).drop("features")
     labelled = labelled.withColumnRenamed("_scores", "features").withColumn("year", year_of(date))
     kept = clean.year_range(drop_small_clusters(labelled, min_cluster), date, first_year, last_year)

@@ -155,7 +155,9 @@ def cluster_centres(spark, d):
 def features_to_cluster_sizes(spark, d):
     rows, _ = M.scale(tracks(spark, d), FEATURES)
     scored = M.reduce_rows(rows, M.fit_pca(rows, "scaled", len(FEATURES), 0.9), "scaled").select("year", "artist", "score")
-    return cluster_sizes(C.sweep(scored, "score", [3], seed=1).label(scored))
+    # The table comes in a single split: spread it for the k-means passes.
+    best = C.sweep(scored, "score", [3], seed=1, partitions=spark.sparkContext.defaultParallelism)
+    return cluster_sizes(best.label(scored))
 
 
 _DBSCAN = f"""WITH RECURSIVE {SPACE_SQL},

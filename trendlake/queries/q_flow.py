@@ -39,7 +39,8 @@ def typed_tracks_from_csv(spark, d):
 @query("tracks_to_cluster_shares")
 def tracks_to_cluster_shares(spark, d):
     out = flows.tracks_to_clusters(
-        tracks(spark, d), FEATURES, "release_date", "1995-01-01", "2001-12-31", 0.9, ks=[2, 3], min_cluster=100)
+        tracks(spark, d), FEATURES, "release_date", "1995-01-01", "2001-12-31", 0.9, ks=[2, 3], min_cluster=100,
+        partitions=spark.sparkContext.defaultParallelism)
     return rounded(cluster_share(out.rows, "year"), ["share"])
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trendlake.operators import trends as T
-from trendlake.queries.base import DIMS, FEATURES, SPACE_SQL, TRACK_SQL, query, r, rounded, space, table, tracks
+from trendlake.queries.base import DIMS, FEATURES, SPACE_SQL, TRACK_SQL, query, r, rounded, space, tracks
 
 _DIST = "sqrt(pow(q - cq, 2) + pow(p - cp, 2) + pow(d - cd, 2) + pow(t - ct, 2))"
 _AVG = "avg(q) AS cq, avg(p) AS cp, avg(d) AS cd, avg(t) AS ct"
