@@ -8,7 +8,7 @@ from trendlake.functions.terms import fourier_terms, percent, ramp_from, step_fr
 from trendlake.functions.vectors import array_to_vector, euclidean_arrays, vector_to_array
 from trendlake.operators import clean as C
 from trendlake.queries.base import (
-    FEATURES, LITERAL_SQL, SPACE_SQL, TRACK_SQL, literals, query, r, rounded, space, table, tracks,
+    LITERAL_SQL, SPACE_SQL, TRACK_SQL, literals, query, r, rounded, space, table, tracks,
 )
 
 # Order rows as text with every seventh price unreadable.
