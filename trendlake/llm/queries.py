@@ -75,10 +75,10 @@ WITH d AS (
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
-), at AS (
+), spots AS (
   SELECT row, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3
 ), win AS (
-  SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s FROM at
+  SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s FROM spots
 ), rep AS (
   SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, s) AS c FROM win) WHERE c > 1
 ), cov AS (

@@ -33,9 +33,9 @@ from trendlake.llm.tables import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(words)
 
-SAMPLE = 6000
+SAMPLE = 8000
 BITS = 18
-BEGINNINGS = (4, 5, 6, 7)  # code points of word beginnings
+BEGINNINGS = (4, 6)  # code points of word beginnings
 TRIM = ".,;:!?&%$#*|\"'()[]{}<>-_"
 #: Insults that any list of toxic English words holds.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "filth")
@@ -86,20 +86,36 @@ class Rows:
         return np.bincount(self.at, np.repeat(values, np.diff(self.starts)), minlength=size)
 
 
-def find_voters(rows: Rows, toxic: np.ndarray, least: int = 5, purity: float = 0.85) -> np.ndarray:
-    """Feature numbers that stand in at least ``least`` toxic rows and almost only there."""
+def copy_weights(rows: Rows, hashes: int = 4) -> np.ndarray:
+    """One over the size of each row's group of copies, so that repeated texts count as one.
+
+    Rows are grouped by the least hashes of their features under a few permutations.
+    """
+    n = len(rows.starts) - 1
+    key = np.zeros(n, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(rows.starts))
+    for j in range(hashes):
+        scrambled = words.mixed(rows.at.astype(np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        if len(full):
+            key[full] = words.mixed(key[full]) + np.minimum.reduceat(scrambled, rows.starts[full])
+    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+    return 1 / size[group]
+
+
+def find_voters(rows: Rows, toxic: np.ndarray, weight: np.ndarray, least: float = 3.5, purity: float = 0.7) -> np.ndarray:
+    """Feature numbers of at least ``least`` toxic rows, groups of copies counted once, that stand almost only there."""
     size = 1 << BITS
-    bad, all_ = rows.turned(toxic, size), rows.turned(np.ones(len(toxic)), size)
-    pure = (bad >= least) & (bad + 0.5 >= purity * (all_ + 1))
-    return np.flatnonzero(pure)
+    bad, all_ = rows.turned(toxic * weight, size), rows.turned(weight, size)
+    return np.flatnonzero((bad >= least) & (bad >= purity * (all_ + 0.5)))
 
 
-def label_model(votes: np.ndarray, share: float, rounds: int = 50) -> np.ndarray:
+def label_model(votes: np.ndarray, share: float, rounds: int = 50, alike_from: float = 0.7) -> np.ndarray:
     """Posterior toxicity of each row from 0/1 votes (rows x voters) and the class share.
 
     Voters fire independently given the class, up to the correlations found:
-    each voter's evidence is divided by its summed absolute correlation with
-    all voters inside the classes.
+    each voter's evidence is divided by its summed absolute correlation,
+    inside the classes, with the voters that largely repeat it (itself among
+    them; correlations below ``alike_from`` count as independence).
     """
     n, k = votes.shape
     # The last voter is the one for clean text.
@@ -115,33 +131,45 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 50) -> np.ndarray
             cover = middle.T @ middle / n
             scale = np.sqrt(np.maximum(np.diag(cover), 1e-9))
             alike = np.abs(cover / scale[:, None] / scale[None, :])
-            weight = 1 / np.where(alike > 0.2, alike, 0).sum(axis=1).clip(1)
+            weight = 1 / np.where(alike > alike_from, alike, 0).sum(axis=1).clip(1)
         evidence = votes * np.log(a / b) + (1 - votes) * np.log((1 - a) / (1 - b))
         p = 1 / (1 + np.exp(-np.clip(evidence @ weight + np.log(share / (1 - share)), -30, 30)))
     return p
 
 
-def fit_logistic(rows: Rows, target: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of least cross entropy against soft targets (Adam on all rows, fixed steps).
+def fit_logistic(
+    rows: Rows, target: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, least: float = 2.5
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of least weighted cross entropy against soft targets (Adam on all rows, fixed steps).
 
-    Both classes weigh the same in total, so that a rare class is learnt as well.
+    Only features are used that stand in at least ``least`` rows and at least
+    three times as often in toxic as in other text; plain text is what the
+    bias stands for. This keeps the model to words that say something.
     """
     size = 1 << BITS
-    w, bias = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    high, low = max(target.sum(), 1.0), max((1 - target).sum(), 1.0)
-    each = target * 0.5 / high + (1 - target) * 0.5 / low
+    high, low = max(float(target @ weight), 1e-9), max(float((1 - target) @ weight), 1e-9)
+    inside, outside = rows.turned(target * weight, size), rows.turned((1 - target) * weight, size)
+    used = np.flatnonzero((inside + outside >= least) & ((inside + 0.2) / high >= 3 * (outside + 0.2) / low))
+    place = np.full(size, -1)
+    place[used] = np.arange(len(used))
+    hit = place[rows.at] >= 0
+    row, at = rows.row[hit], place[rows.at[hit]]
+    n = len(target)
+    w, bias = np.zeros(len(used)), float(np.log(high / low))
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    each = weight / weight.sum()
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(rows.times(w) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], minlength=n) + bias, -30, 30)))
         g = (p - target) * each
-        gw, gb = rows.turned(g, size) + decay * np.sign(w), g.sum()
+        gw, gb = np.bincount(at, g[row], minlength=len(used)) + decay * w / 10, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        w = np.maximum(w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-8), 0)
         bias -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-        w[np.abs(w) < rate * 0.05] = 0
-    return w, bias
+    weights = np.zeros(size)
+    weights[used] = w
+    return weights, bias
 
 
 @dataclass
@@ -168,7 +196,8 @@ def fit_toxicity(
     chosen = sampled(labels, id_col, label, train, sample)
     got = _features_of(docs.join(F.broadcast(chosen), id_col).select(F.col("label"), F.col(text).alias("text"))).toPandas()
     rows, gold = Rows.of(got["at"]), got["label"].to_numpy(float)
-    found = find_voters(rows, gold) if len(gold) else np.zeros(0, dtype=np.int64)
+    weight = copy_weights(rows)
+    found = find_voters(rows, gold, weight) if len(gold) else np.zeros(0, dtype=np.int64)
     seeds = hashed(list(SEEDS))
     voters = np.unique(np.concatenate([found, seeds]))
     place = np.full(1 << BITS, -1)
@@ -178,9 +207,9 @@ def fit_toxicity(
     votes[rows.row[hit], place[rows.at[hit]]] = 1
     votes[:, -2] = got["shouts"].to_numpy(float)
     votes[:, -1] = ~votes[:, :-2].any(axis=1)
-    share = float(np.clip(gold.mean() if len(gold) else 0.05, 0.01, 0.99))
+    share = float(np.clip(np.average(gold, weights=weight) if len(gold) else 0.05, 0.01, 0.99))
     if len(gold) and votes[:, : len(voters)].any():
-        weights, bias = fit_logistic(rows, label_model(votes, share))
+        weights, bias = fit_logistic(rows, label_model(votes, share), weight)
     else:
         weights, bias = np.zeros(1 << BITS), -2.0
         weights[seeds] = 4.0

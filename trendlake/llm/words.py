@@ -23,6 +23,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in one array, and where each text's words start (one more at the end)."""
+    # A copy from offset 0: some string kernels misread slices.
+    texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words = lists.flatten()
