@@ -9,9 +9,11 @@ which the prefix is extended by one token per group. Pairs that share a
 signature are verified on their whole sets.
 
 Links within a bucket are first sought with one leader, the member with the
-most room for overlap; members already in one group are never compared again,
-so a large group of near copies costs rows in proportion to its size.
-All pairs that remain possible between different groups are then verified.
+most room for overlap; members already in one component are never compared
+again. Members of different components under one leader are compared by what
+tells them from it: few tokens, most of them rare. Pairs under different
+leaders that share a signature are screened by their heads. What is left is
+verified on whole sets, so no link is lost and no group is paired out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.llm import words
@@ -73,7 +75,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, size: int, percent: int, whol
     )
 
 
-def _combined(percent: int, whole_need, batches):
+def _combined(percent: int, batches):
     """Signatures of classes that frequent tokens reach into, from their marked whole sets."""
     for batch in batches:
         rep, sig, n_out, room = [], [], [], []
@@ -124,15 +126,89 @@ def _possible(percent: int, n1: str, r1: str, n2: str, r2: str) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link: intersection at least ``percent`` of the union."""
+def _screened(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """``a, b, possible, near`` of the pairs whose heads allow a link or share half of their tokens.
+
+    A head holds all of its set's tokens up to its largest one. A linked set
+    lacks at most ``n - overlap`` of a set's tokens, so of the tokens up to
+    the smaller of both largest ones at most so many are missing.
+    """
+    def side(letter: str) -> DataFrame:
+        top = F.when(F.size("tokens") == F.col("n"), F.lit(2**63 - 1)).otherwise(F.element_at("tokens", -1))
+        return heads.select(
+            F.col("rep").alias(letter), F.col("n").alias(f"n{letter}"), F.col("tokens").alias(f"t{letter}"), top.alias(f"top{letter}")
+        )
+
+    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    upto = F.least("topa", "topb")
+
+    def enough(letter: str) -> Column:
+        below = F.size(F.filter(f"t{letter}", lambda t: t <= F.col("upto")))
+        return F.col("shared") >= below - (F.col(f"n{letter}") - F.col("overlap"))
+
+    return (
+        pairs.join(side("b"), "b").join(side("a"), "a")
+        .withColumns({"shared": F.size(F.array_intersect("ta", "tb")), "overlap": overlap, "upto": upto})
+        .select("a", "b", (enough("a") & enough("b")).alias("possible"), (F.col("shared") * 2 >= F.least(F.size("ta"), F.size("tb"))).alias("near"))
+        .filter("possible or near").groupBy("a", "b").agg(F.max("possible").alias("possible"), F.max("near").alias("near"))
+    )
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with their whole sets ``ta, tb``, sizes, and whether they link: intersection at least ``percent`` of the union."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
     return (
-        pairs.join(right, "b").join(left, "a").withColumn("shared", shared)
-        .filter(F.col("shared") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
-        .select("a", "b").distinct()
+        pairs.join(right, "b").join(left, "a").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+        .withColumn("linked", F.col("shared") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("shared")))
+    )
+
+
+def _pivots(near: DataFrame) -> DataFrame:
+    """rep, pivot: the near leader with most near members, or that leader's own one if it has still more."""
+    near = near.filter("near").select("a", "b")
+    follow = near.groupBy("a").agg(F.count(F.lit(1)).alias("followers"))
+    best = near.join(follow, "a").groupBy(F.col("b").alias("rep")).agg(
+        F.max(F.struct("followers", (-F.col("a")).alias("minus"))).alias("m")
+    ).select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers"))
+    best = written(best)
+    above = best.select(F.col("rep").alias("pivot"), F.col("pivot").alias("above"), F.col("followers").alias("more"))
+    up = (F.col("more") > F.col("followers")) & (F.col("above") != F.col("rep"))
+    return best.join(above, "pivot", "left").select("rep", F.when(up, F.col("above")).otherwise(F.col("pivot")).alias("pivot"))
+
+
+def _differences(compared: DataFrame, pivots: DataFrame) -> DataFrame:
+    """rep, pivot, n, diff: each member's pivot and the tokens that only one of the two has."""
+    return compared.join(pivots.select(F.col("rep").alias("b"), F.col("pivot").alias("a")), ["a", "b"]).select(
+        F.col("b").alias("rep"), F.col("a").alias("pivot"), F.col("nb").alias("n"),
+        F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("diff"),
+    ).dropDuplicates(["rep"])
+
+
+def _within_pivots(members: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs ``a, b`` of different components under one leader, found in what tells them from the leader.
+
+    Two sets differ by what their differences from the leader do not share.
+    A set within the threshold of its leader is in the leader's component, so
+    of any pair in question one differs by more, and the differences of both
+    must overlap: a prefix join on them, rarest tokens first, with positions.
+    """
+    tokens = members.select("rep", "pivot", "n", "component", F.size("diff").alias("size"), F.explode("diff").alias("token"))
+    often = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    order = Window.partitionBy("pivot", "rep", "n").orderBy(F.coalesce("df", F.lit(1)), "token")
+    placed = tokens.join(often, ["pivot", "token"], "left").withColumn("at", F.row_number().over(order) - 1)
+    widest = F.expr(f"({100 - percent} * (n + n * 100 div {percent})) div {100 + percent}")
+    placed = written(placed.filter(F.col("df").isNotNull() & (F.col("at") <= widest)))
+    keep = ("rep", "n", "size", "at", "component")
+    x = placed.select("pivot", "token", *[F.col(c).alias(f"{c}1") for c in keep])
+    y = placed.select("pivot", "token", *[F.col(c).alias(f"{c}2") for c in keep])
+    apart = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")
+    room = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    return (
+        x.join(y, ["pivot", "token"])
+        .filter((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")))
+        .filter((F.least("n1", "n2") * 100 >= percent * F.greatest("n1", "n2")) & (2 * room >= F.col("size1") + F.col("size2") - apart))
+        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
     )
 
 
@@ -158,7 +234,7 @@ def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, siz
         .select("id", "n", F.col("t.token"), F.col("t.often"))
     )
     combos = marked.mapInArrow(
-        lambda batches: _combined(percent, None, batches), "sig long, rep long, n long, room long"
+        lambda batches: _combined(percent, batches), "sig long, rep long, n long, room long"
     )
     return singles.unionByName(combos)
 
@@ -201,27 +277,38 @@ def near_duplicates(
     live = written(
         index.join(buckets, "sig").select("sig", "rep", "n", "room", "leader", F.col("first.n").alias("ln"), F.col("first.room").alias("lroom"))
     )
-    members = live.select("rep").distinct()
-    wanted = classes.select("rep", "digest").join(members, "rep", "left_semi")
-    whole = written(_whole(docs, wanted, id_col, text, size, percent).select("id", "n", "tokens"))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        return written(_whole(docs, heads.select("rep", "digest").join(ends, "rep", "left_semi"), id_col, text, size, percent))
 
     star = live.filter(F.col("rep") != F.col("leader")).filter(_possible(percent, "n", "room", "ln", "lroom"))
-    first = written(_verified(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), whole, percent))
-    groups = written(_components(members, first))
-    grouped = written(live.select("sig", "rep", "n", "room").join(groups, "rep"))
-    both = grouped.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = both.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig")
-    open_rows = written(grouped.join(mixed, "sig", "left_semi"))
-    x = open_rows.select("sig", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "room", "component")])
-    y = open_rows.select("sig", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "room", "component")])
-    rest = (
+    near = written(_screened(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), heads, percent))
+    chosen = written(_pivots(near))
+    pairs = written(near.select("a", "b").union(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct())
+    compared = written(_compared(pairs, whole(pairs), percent))
+    first = written(compared.filter("linked").select("a", "b").distinct())
+    groups = written(_components(first))
+    pivots = written(_differences(compared, chosen).join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    grouped = written(
+        live.select("sig", "rep", "n", "room").join(groups, "rep", "left").join(pivots.select("rep", "pivot"), "rep", "left")
+        .withColumns({"component": F.coalesce("component", "rep"), "pivot": F.coalesce("pivot", "rep")})
+    )
+    apart = grouped.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("sig")
+    open_rows = written(grouped.join(apart, "sig", "left_semi"))
+    fields = ("rep", "n", "room", "component", "pivot")
+    x = open_rows.select("sig", *[F.col(c).alias(f"{c}1") for c in fields])
+    y = open_rows.select("sig", *[F.col(c).alias(f"{c}2") for c in fields])
+    across = (
         x.join(y, "sig")
-        .filter((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")))
+        .filter((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & (F.col("pivot1") != F.col("pivot2")))
         .filter(_possible(percent, "n1", "room1", "n2", "room2"))
-        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
     )
-    second = _verified(rest, whole, percent)
-    final = _components(members, written(first.unionByName(second)))
+    rest = _screened(across.union(_within_pivots(pivots, percent)).distinct(), heads, percent).filter("possible")
+    rest = written(rest)
+    second = _compared(rest, whole(rest), percent).filter("linked").select("a", "b").distinct()
+    final = _components(written(first.unionByName(second)))
     named = classes.select("digest", "rep").join(final, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
@@ -231,10 +318,7 @@ def near_duplicates(
     )
 
 
-def _components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """rep, component for all members; those without a link are their own."""
+def _components(links: DataFrame) -> DataFrame:
+    """rep, component for all ends of links."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    found = connected_components(ends, links)
-    return members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "rep", F.coalesce("component", "rep").alias("component")
-    )
+    return connected_components(ends, links).withColumnRenamed("id", "rep")
