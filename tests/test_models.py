@@ -99,33 +99,32 @@ def slow_tree(x, method):
     return heights, snaps
 
 
-@pytest.mark.parametrize("method", hierarchy.METHODS)
-@pytest.mark.parametrize("cut", hierarchy.CUTS)
-def test_tree_equals_brute_force(spark, method, cut):
-    x = np.random.default_rng(7).normal(size=(30, 2))
-    heights, snaps = slow_tree(x, method)
-    h = np.array(heights)
-    keep = {"maxclust": len(x) - 4, "jump": int(np.diff(h).argmax()) + 1, "distance": int((h <= h.mean() + h.std()).sum())}[cut]
-    out = hierarchy.hierarchical(plane(spark, x), "id", ["a", "b"], method, cut, 4, standardize=False).collect()
-    found = {}
-    for r in out:
-        found.setdefault(r["cluster"], []).append(r["id"])
-    assert sorted(sorted(g) for g in found.values()) == sorted(snaps[keep])
-    assert 0 in found[1] and set(found) == set(range(1, len(found) + 1))
-    steps = [r["height"] for r in hierarchy.merge_table(plane(spark, x), "id", ["a", "b"], method, standardize=False).orderBy("step").collect()]
-    assert steps == pytest.approx(heights)
-
-
-def test_large_groups_keep_every_row_and_separate_blobs(spark):
+def slow_linkage(x, height):
+    label = list(range(len(x)))
+    for i in range(len(x)):
+        for j in range(i):
+            if np.hypot(*(x[i] - x[j])) <= height and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    return label
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_single_linkage_equals_brute_force(spark, n):
+    x = np.random.default_rng(7).normal(size=(n, 2))
+    out = hierarchy.single_linkage(plane(spark, x), "id", ["a", "b"], 0.12, standardize=False).collect()
+    assert {r["id"]: r["cluster"] for r in out} == dict(enumerate(slow_linkage(x, 0.12)))
+
+
+def test_groups_do_not_change_each_other(spark):
     rng = np.random.default_rng(3)
-    x = np.r_[rng.normal(0, 0.2, (300, 2)), rng.normal(5, 0.2, (200, 2)), rng.normal([9, 0], 0.2, (100, 2))]
-    df = plane(spark, x).withColumn("g", F.when(F.col("id") % 50 == 0, "small").otherwise("big"))
-    out = hierarchy.hierarchical(df, "id", ["a", "b"], "ward", "maxclust", 3, by=["g"], exact_rows=50, micro=40).collect()
-    assert len(out) == 600
-    truth = [0] * 300 + [1] * 200 + [2] * 100
-    for g in ("small", "big"):
-        pairs = {(r["cluster"], truth[r["id"]]) for r in out if r["g"] == g}
-        assert len(pairs) == 3
+    x = np.r_[rng.normal(0, 0.02, (70, 2)), rng.normal(1, 0.02, (60, 2)), rng.normal(0, 30, (700, 2))]
+    df = plane(spark, x).withColumn("g", F.when(F.col("id") < 130, "b").otherwise("a"))
+    alone = hierarchy.single_linkage(df.filter("g = 'b'"), "id", ["a", "b"], 0.2, by=["g"], standardize=False)
+    beside = hierarchy.single_linkage(df, "id", ["a", "b"], 0.2, by=["g"], standardize=False).filter("g = 'b'")
+    got = {r["id"]: r["cluster"] for r in beside.collect()}
+    assert got == {r["id"]: r["cluster"] for r in alone.collect()}
+    assert set(got.values()) == {0, 70}
 
 
 def test_pca_and_svd_against_numpy(spark):

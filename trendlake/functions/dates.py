@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A calendar year of four digits at most. Filtering on it bounds every
-# per-year table at 9,999 rows, which is what allows those to be broadcast.
-MIN_YEAR, MAX_YEAR = 1, 9999
-
-
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -46,5 +41,11 @@ def date_parts(ts: str | Column, prefix: str = "") -> list[Column]:
     ]
 
 
-def valid_year(year: str | Column) -> Column:
-    return _col(year).between(MIN_YEAR, MAX_YEAR)
+def dated(year: str | Column) -> Column:
+    """Rows that belong to some year, whatever its number; ``undated_rows`` counts the others."""
+    return _col(year).isNotNull()
+
+
+def undated_rows(df: DataFrame, year: str | Column = "year") -> DataFrame:
+    """``rows, undated``: how many rows there are and how many of them the yearly tables leave out."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(_col(year).isNull()).alias("undated"))

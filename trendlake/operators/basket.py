@@ -41,17 +41,18 @@ def top_itemsets(itemsets: DataFrame, size: int, n: int = 20) -> DataFrame:
     )
 
 
-def rule_edges(rules: DataFrame, min_confidence: float = 0.4, n: int = 50) -> DataFrame:
-    """``source, target, weight, lift`` of the ``n`` most confident rules with one item on each side."""
+def rule_edges(rules: DataFrame, min_confidence: float = 0.4, n: int | None = None) -> DataFrame:
+    """``source, target, weight, lift`` of the rules with one item on each side, the ``n`` most confident ones if given."""
     one_to_one = (F.size("antecedent") == 1) & (F.size("consequent") == 1)
-    return (
+    edges = (
         rules.filter(one_to_one & (F.col("confidence") >= min_confidence))
         .select(
             F.get("antecedent", F.lit(0)).alias("source"), F.get("consequent", F.lit(0)).alias("target"),
             F.col("confidence").alias("weight"), "lift",
         )
-        .orderBy(F.desc("weight"), "source", "target").limit(n)
+        .orderBy(F.desc("weight"), "source", "target")
     )
+    return edges if n is None else edges.limit(n)
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:

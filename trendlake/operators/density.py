@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.functions.dates import valid_year, window_start
+from trendlake.functions.dates import dated, window_start
 from trendlake.functions.vectors import coordinate_names, with_coordinates
+from trendlake.session import materialise
 
 
 def density_curves(
@@ -26,7 +27,7 @@ def density_curves(
     """
     names = coordinate_names(score, dims)
     period = F.col(year).cast("int") if width == 1 else window_start(year, width)
-    rows = with_coordinates(df.filter(valid_year(year)), [period.alias("period")], score, dims)
+    rows = with_coordinates(df.filter(dated(year)), [period.alias("period")], score, dims)
     # Periods are years and dims are few, so this table is bounded.
     per_dim = [
         F.struct(F.lit(i).alias("dim"), F.count("*").alias("n"), F.stddev_samp(n).alias("sd"),
@@ -45,7 +46,7 @@ def density_curves(
     long = rows.select("period", F.inline(F.array(*[
         F.struct(F.lit(i).alias("dim"), F.col(n).alias("v")) for i, n in enumerate(names)
     ])))
-    weighted = long.join(F.broadcast(bands), ["period", "dim"]).withColumn("w", F.lit(1.0))
+    weighted = long.join(materialise(bands), ["period", "dim"]).withColumn("w", F.lit(1.0))
     if prebin:
         cell = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * prebin)
         weighted = weighted.groupBy("period", "dim", "n", "h", "lo", "hi", cell.alias("cell")).agg(

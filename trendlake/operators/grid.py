@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendlake.functions.dates import valid_year
+from trendlake.functions.dates import dated
 from trendlake.functions.vectors import with_coordinates
 from trendlake.operators.clean import zscore
 from trendlake.operators.quantiles import group_quantiles
@@ -44,7 +44,7 @@ def _limits(rows: DataFrame, cols: Sequence[str]) -> Column:
 
 def _binned(df, score, dims, cells, edge, year):
     rows = with_coordinates(
-        df.filter(valid_year(year)), [F.col(year).cast("int").alias("year")], score, max(2, dims or 2)
+        df.filter(dated(year)), [F.col(year).cast("int").alias("year")], score, max(2, dims or 2)
     )
     lim = _limits(rows, ["x0", "x1"])
     axis = lambda c: bin_index(F.col(c), lim.getField(f"lo_{c}"), lim.getField(f"hi_{c}"), cells, edge)

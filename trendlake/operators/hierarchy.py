@@ -1,187 +1,43 @@
-"""Agglomerative clustering: exact for bounded groups, over weighted micro-clusters beyond.
+"""Single-linkage clusters at a given height, for all rows or per group.
 
-The merge loop sees at most ``exact_rows`` or ``micro`` items per group, a
-fixed bound; larger groups are first condensed by distributed k-means into
-weighted centres, and every row then inherits the label of its centre. No row
-is dropped or sampled, but for condensed groups the tree is approximate.
+Cutting a single-linkage tree at a height leaves the connected components of
+the links no longer than it, so no tree is built: density clustering with one
+row per core finds them, in parallel and exactly, at every size.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.operators.dbscan import standardized_plane
+from trendlake.operators.dbscan import dbscan, standardized_plane
+from trendlake.operators.joins import number_rows
 from trendlake.operators.quantiles import null_safe_join
 from trendlake.session import materialise
 
-# The merge loop travels inside the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CELLS_PER_DEVIATION = 128
-METHODS = ("ward", "complete", "average", "single")
-CUTS = ("maxclust", "jump", "distance")
-
-
-def merge_steps(points: np.ndarray, weights: np.ndarray, method: str) -> list[tuple[int, int, float]]:
-    """Merges in order as (kept slot, absorbed slot, height)."""
-    n = len(points)
-    diff = points[:, None, :] - points[None, :, :]
-    dist = (diff * diff).sum(axis=2)
-    w = weights.astype(float).copy()
-    if method == "ward":
-        dist = dist * (2.0 * np.outer(w, w) / (w[:, None] + w[None, :]))
-    else:
-        dist = np.sqrt(dist)
-    np.fill_diagonal(dist, np.inf)
-    steps = []
-    for _ in range(n - 1):
-        i, j = sorted(divmod(int(dist.argmin()), n))
-        height = dist[i, j]
-        steps.append((i, j, float(np.sqrt(height) if method == "ward" else height)))
-        a, b = dist[i], dist[j]
-        if method == "ward":
-            merged = ((w[i] + w) * a + (w[j] + w) * b - w * height) / (w[i] + w[j] + w)
-        elif method == "average":
-            merged = (w[i] * a + w[j] * b) / (w[i] + w[j])
-        else:
-            merged = np.maximum(a, b) if method == "complete" else np.minimum(a, b)
-        merged[~np.isfinite(a) | ~np.isfinite(b)] = np.inf
-        w[i] += w[j]
-        dist[i, :] = merged
-        dist[:, i] = merged
-        dist[j, :] = np.inf
-        dist[:, j] = np.inf
-    return steps
-
-
-def merges_to_keep(heights: Sequence[float], cut: str, n_clusters: int | None) -> int:
-    """How many merges a cut applies."""
-    h = np.asarray(heights, dtype=float)
-    if cut == "maxclust":
-        return max(0, len(h) + 1 - int(n_clusters))
-    if len(h) < 2:
-        return 0 if cut == "jump" else len(h)
-    if cut == "jump":
-        return int(np.diff(h).argmax()) + 1
-    return int((h <= h.mean() + h.std()).sum())
-
-
-def _labels(n: int, steps: list[tuple[int, int, float]], keep: int, firsts: np.ndarray) -> np.ndarray:
-    """Labels 1..k, numbered by the smallest key in each cluster."""
-    slot = np.arange(n)
-    for i, j, _ in steps[:keep]:
-        slot[slot == j] = i
-    order = np.argsort(firsts, kind="stable")
-    numbers: dict[int, int] = {}
-    for s in slot[order]:
-        numbers.setdefault(int(s), len(numbers) + 1)
-    return np.array([numbers[int(s)] for s in slot])
-
-
-def _grouped(group_cols: list[str], method: str, cut: str, n_clusters: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_key", kind="stable").reset_index(drop=True)
-        steps = merge_steps(pdf[["x", "y"]].to_numpy(float), pdf["w"].to_numpy(), method)
-        keep = merges_to_keep([s[2] for s in steps], cut, n_clusters)
-        out = pdf[[*group_cols, "item"]].copy()
-        out["cluster"] = _labels(len(pdf), steps, keep, pdf["first_key"].to_numpy()).astype("int32")
-        return out
-
-    return run
-
-
-def _merge_rows(method: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_key", kind="stable").reset_index(drop=True)
-        size = pdf["w"].to_numpy(dtype="int64").copy()
-        rows = []
-        for n, (i, j, height) in enumerate(merge_steps(pdf[["x", "y"]].to_numpy(float), pdf["w"].to_numpy(), method)):
-            size[i] += size[j]
-            rows.append((n + 1, height, int(size[i])))
-        return pd.DataFrame(rows, columns=["step", "height", "rows"])
-
-    return run
-
-
-def _condensed(plane: DataFrame, key: str, by: list[str], exact_rows: int, micro: int, seed: int) -> DataFrame:
-    """Rows with the ``item`` they stand in: themselves, or their micro-cluster in large groups."""
-    plane = materialise(plane)
-    sizes = plane.groupBy(*by).agg((F.count("*") <= exact_rows).alias("small"))
-    rows = null_safe_join(plane, materialise(sizes), by) if by else plane.withColumn("small", sizes.scalar())
-    small = rows.filter("small").withColumn("item", F.col(key).cast("string"))
-    large = rows.filter(~F.col("small"))
-    if large.isEmpty():
-        return small.drop("small")
-    # Rows are first gathered into cells a small part of a deviation wide, so
-    # k-means passes over weighted cells and not over rows.
-    spread = large.agg(F.struct(F.stddev_pop("x").alias("x"), F.stddev_pop("y").alias("y")).alias("s")).first()["s"]
-    cell = lambda c: F.floor(F.col(c) / F.lit((spread[c] or 1.0) / _CELLS_PER_DEVIATION)).alias(f"_{c}")
-    placed = large.select("*", cell("x"), cell("y"))
-    cells = materialise(placed.groupBy("_x", "_y").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").cast("double").alias("n")))
-    vectors = cells.withColumn("_v", array_to_vector(F.array("x", "y")))
-    model = KMeans(featuresCol="_v", predictionCol="_m", weightCol="n", k=micro, seed=seed).fit(vectors.select("_v", "n"))
-    named = model.transform(vectors).select("_x", "_y", F.concat(F.lit("micro "), F.col("_m").cast("string")).alias("item"))
-    return small.unionByName(placed.join(materialise(named), ["_x", "_y"]).select(*small.columns)).drop("small")
-
-
-def hierarchical(
-    df: DataFrame, key: str, score: str | Sequence[str], method: str = "ward", cut: str = "distance",
-    n_clusters: int | None = None, by: Sequence[str] = (), dims: int | None = None, standardize: bool = True,
-    exact_rows: int = 512, micro: int = 256, seed: int = 1,
+def single_linkage(
+    df: DataFrame, key: str, score: str | Sequence[str], height: float, by: Sequence[str] = (),
+    dims: int | None = None, standardize: bool = True,
 ) -> DataFrame:
-    """``by, key, x, y, cluster``: one tree per group, all groups at once.
+    """``by, key, x, y, cluster``; a cluster is named by its smallest key.
 
-    Cuts: ``maxclust`` (at most ``n_clusters``), ``jump`` (before the largest
-    rise between merges), ``distance`` (mean + population deviation of the heights).
+    Groups never influence each other: each is laid out at its own place,
+    farther than ``height`` from the next.
     """
-    if method not in METHODS or cut not in CUTS:
-        raise ValueError(f"method one of {METHODS}, cut one of {CUTS}")
-    if cut == "maxclust" and not n_clusters:
-        raise ValueError("maxclust needs n_clusters")
     by = list(by)
-    rows, items = _items(df, key, score, by, dims, standardize, exact_rows, micro, seed)
-    key_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{key_schema + ', ' if by else ''}item string, cluster int"
-    labels = items.groupBy(*by).applyInPandas(_grouped(by, method, cut, n_clusters), schema)
-    if not by:
-        labels = F.broadcast(labels)  # at most exact_rows or micro rows
-    return null_safe_join(rows, labels, [*by, "item"]).select(*by, key, "x", "y", "cluster")
-
-
-def _items(df, key, score, by, dims, standardize, exact_rows, micro, seed):
-    flat = standardized_plane(df, [*by, key], score, dims, standardize)
-    rows = _condensed(flat, key, by, exact_rows, micro, seed)
-    items = rows.groupBy(*by, "item").agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("w"), F.min(key).alias("first_key")
-    )
-    return rows, items
-
-
-def merge_table(
-    df: DataFrame, key: str, score: str | Sequence[str], method: str = "ward", dims: int | None = None,
-    standardize: bool = True, exact_rows: int = 512, micro: int = 256, seed: int = 1,
-) -> DataFrame:
-    """``step, height, rows``: the tree as merge heights and the rows each merge brings together."""
-    _, items = _items(df, key, score, [], dims, standardize, exact_rows, micro, seed)
-    return items.groupBy().applyInPandas(_merge_rows(method), "step int, height double, rows long")
-
-
-def compare_linkages(
-    df: DataFrame, key: str, score: str | Sequence[str], methods: Sequence[str] = ("ward", "complete", "average"), **options
-) -> DataFrame:
-    """``method, cluster, n`` for each linkage."""
-    out = None
-    for m in methods:
-        sizes = hierarchical(df, key, score, method=m, **options).groupBy("cluster").agg(F.count("*").alias("n"))
-        sizes = sizes.select(F.lit(m).alias("method"), "cluster", "n")
-        out = sizes if out is None else out.union(sizes)
-    return out
+    plane = materialise(standardized_plane(df, [*by, key], score, dims, standardize))
+    if by:
+        groups = plane.select(*by).distinct().withColumn("_order", F.to_json(F.struct(*by)))
+        numbered = materialise(number_rows(groups, "_order", "_group").select(*by, "_group"))
+        width = plane.agg(F.max("x") - F.min("x")).first()[0] or 0.0
+        apart = null_safe_join(plane, numbered, by).withColumn("_x", F.col("x") + F.col("_group") * F.lit(width + 3.0 * height))
+    else:
+        apart = plane.withColumn("_x", F.col("x"))
+    apart = materialise(apart)
+    found = materialise(dbscan(apart, key, ["_x", "y"], height, 1, standardize=False).select(key, "cluster"))
+    rows = apart.join(found.withColumnRenamed("cluster", "_c"), key)
+    first = rows.groupBy("_c").agg(F.min(key).alias("cluster"))
+    return rows.join(materialise(first), "_c").select(*by, key, "x", "y", "cluster")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _local_fit(series: Column, x0: Column, span: float) -> Column:
     """Local quadratic at ``x0`` with tricube weights over the nearest share of the points."""
-    nearest = F.ceil(F.lit(span) * F.size(series)).cast("int")
+    nearest = F.greatest(F.floor(F.lit(span) * F.size(series) + F.lit(1e-5)), F.lit(1)).cast("int")
     distances = F.array_sort(F.transform(series, lambda p: F.abs(p.x - x0)))
     reach = F.get(distances, nearest - 1)
 

@@ -1,9 +1,9 @@
 """Yearly centres, dispersion, movement and novelty of a score space.
 
-Every table here starts from partial sums per (year[, artist]). Year tables
-hold at most 9,999 rows (see ``functions.dates``), so the broadcasts and the
-year-ordered windows below work on a proven bound. Tables per artist have no
-such bound: they are written out and Spark joins them by their real size.
+Every table here starts from partial sums per (year[, artist]). Any number is
+a year; rows with a null year belong to none (``dates.undated_rows`` counts
+them). Year and artist tables are written out and Spark joins them by their
+real size. Windows run over one row per year.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendlake.functions.dates import valid_year
+from trendlake.functions.dates import dated
 from trendlake.functions.terms import bin_labels
 from trendlake.functions.vectors import coordinate_names, dimension, euclidean, with_coordinates
 from trendlake.session import materialise
@@ -24,7 +24,7 @@ Score = str | Sequence[str]
 
 
 def _rows(df: DataFrame, score: Score, dims: int | None, year: str, extra: Sequence[str] = ()) -> DataFrame:
-    return with_coordinates(df.filter(valid_year(year)), [F.col(year).cast("int").alias("year"), *extra], score, dims)
+    return with_coordinates(df.filter(dated(year)), [F.col(year).cast("int").alias("year"), *extra], score, dims)
 
 
 def _centres(rows: DataFrame, by: Sequence[str], d: int, prefix: str = "c") -> DataFrame:
@@ -35,7 +35,7 @@ def _centres(rows: DataFrame, by: Sequence[str], d: int, prefix: str = "c") -> D
 
 def _with_year_distance(rows: DataFrame, d: int, extra: Sequence[str] = ()) -> DataFrame:
     """Rows with their distance to the centre of their year."""
-    centre = F.broadcast(_centres(rows, ["year"], d).drop("n"))
+    centre = materialise(_centres(rows, ["year"], d).drop("n"))
     return rows.join(centre, "year").select("year", *extra, euclidean(d).alias("distance"))
 
 
@@ -146,7 +146,7 @@ def between_artist_pairwise(
     d = dimension(score, dims)
     rows = _rows(df, score, dims, year, [F.col(artist).alias("artist")])
     artists = _centres(rows, ["year", "artist"], d, "x").drop("n")
-    per_year = F.broadcast(artists.groupBy("year").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")))
+    per_year = materialise(artists.groupBy("year").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")))
     placed = artists.join(per_year, "year").withColumn(
         "block", F.pmod(F.xxhash64("artist"), F.col("blocks").cast("long")).cast("int")
     )
@@ -197,7 +197,7 @@ def yearly_innovation(df: DataFrame, score: Score, dims: int | None = None, year
     """within = mean distance to the year's centre; between = that centre to the centre of all earlier rows."""
     d = dimension(score, dims)
     rows = _rows(df, score, dims, year)
-    c = F.broadcast(_historical(rows, d))
+    c = materialise(_historical(rows, d))
     own = euclidean(d)
     between = euclidean(d, "c", "h")
     # The year's own figures are constant in a group: max reads them off.
@@ -210,7 +210,7 @@ def row_distances(
     """Every row with its distance to the current and to the historical centre."""
     d = dimension(score, dims)
     rows = _rows(df, score, dims, year, keep)
-    c = F.broadcast(_historical(rows, d))
+    c = materialise(_historical(rows, d))
     return rows.join(c, "year").select(
         "year", *keep,
         euclidean(d).alias("current_distance"),
@@ -220,7 +220,7 @@ def row_distances(
 
 def innovation_levels(
     df: DataFrame, score: Score, edges: Sequence[float], distance: str = "internal",
-    dims: int | None = 2, year: str = "year", first_year: int | None = 1920, last_year: int | None = 2020,
+    dims: int | None = 2, year: str = "year", first_year: int | None = None, last_year: int | None = None,
 ) -> DataFrame:
     """Rows per year and distance bin ``[lo, hi)``, one column per bin; values outside all bins are not counted."""
     if distance not in ("internal", "historical"):
@@ -254,7 +254,7 @@ def feature_trends(
 
     Smoothing is a centred rolling mean over present years; an incomplete window gives null.
     """
-    rows = df.filter(valid_year(year)).select(
+    rows = df.filter(dated(year)).select(
         F.col(year).cast("int").alias("year"), *[F.col(f).cast("double").alias(f) for f in features]
     )
     wide = rows.groupBy("year").agg(*[

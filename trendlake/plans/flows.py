@@ -82,7 +82,7 @@ class Rules:
 
 
 def lists_to_rules(
-    df: DataFrame, column: str, min_support: float = 0.005, min_confidence: float = 0.4, top: int = 50
+    df: DataFrame, column: str, min_support: float = 0.005, min_confidence: float = 0.4, top: int | None = None
 ) -> Rules:
     """List text -> item sets, rules, single-item rule edges and node degrees."""
     model = basket.mine(df.select(parse_list_json(column).alias("items")), "items", min_support, min_confidence)

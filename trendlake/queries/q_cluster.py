@@ -1,6 +1,6 @@
 """Scaling, reduction and clustering queries.
 
-K-means, its sweeps and the hierarchical trees have no SQL counterpart; the
+K-means and its sweeps have no SQL counterpart; the
 tests compare them with brute force on small tables instead.
 """
 
@@ -215,39 +215,25 @@ def dbscan_parameter_sweep(spark, d):
     return rounded(D.dbscan_sweep(space(spark, d), "vec_id", "score", [0.2, 0.3], [5, 10], DIMS), ["silhouette", "noise_ratio"], 5)
 
 
-@query("hierarchical_ward")
-def hierarchical_ward(spark, d):
-    return H.hierarchical(space(spark, d), "vec_id", "score", "ward", "maxclust", 7, dims=DIMS).select("vec_id", "cluster")
-
-
-@query("hierarchical_label_totals", "SELECT count(*) AS rows, CAST(7 AS BIGINT) AS clusters FROM embeddings")
-def hierarchical_label_totals(spark, d):
-    out = H.hierarchical(space(spark, d), "vec_id", "score", "complete", "maxclust", 7, dims=DIMS)
-    return out.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"))
+_LINKAGE = f"""WITH RECURSIVE {SPACE_SQL},
+z AS (SELECT vec_id, year, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM space),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM z a JOIN z b ON {{same}} AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {{height}} * {{height}}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM z UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b)
+"""
 
 
-@query("hierarchical_distance_cut")
+@query("hierarchical_distance_cut", _LINKAGE.format(same="true", height="0.15::DOUBLE") + "SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a")
 def hierarchical_distance_cut(spark, d):
-    out = H.hierarchical(space(spark, d), "vec_id", "score", "complete", "distance", dims=DIMS)
-    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+    return H.single_linkage(space(spark, d), "vec_id", "score", 0.15, dims=DIMS).select("vec_id", "cluster")
 
 
-@query("hierarchical_largest_jump")
-def hierarchical_largest_jump(spark, d):
-    out = H.hierarchical(space(spark, d), "vec_id", "score", "average", "jump", dims=DIMS)
-    return out.groupBy("cluster").agg(F.count("*").alias("n"))
+@query("hierarchical_label_totals", _LINKAGE.format(same="true", height="0.1::DOUBLE") +
+       "SELECT cluster, count(*) AS n FROM (SELECT a, min(b) AS cluster FROM reach GROUP BY a) GROUP BY cluster")
+def hierarchical_label_totals(spark, d):
+    return H.single_linkage(space(spark, d), "vec_id", "score", 0.1, dims=DIMS).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query("hierarchical_by_year")
+@query("hierarchical_by_year", _LINKAGE.format(same="a.year = b.year", height="0.5::DOUBLE") +
+       "SELECT z.year, a AS vec_id, min(b) AS cluster FROM reach JOIN z ON z.vec_id = a GROUP BY ALL")
 def hierarchical_by_year(spark, d):
-    return H.hierarchical(space(spark, d), "vec_id", "score", "ward", "distance", by=["year"], dims=DIMS).select("year", "vec_id", "cluster")
-
-
-@query("hierarchical_merge_heights")
-def hierarchical_merge_heights(spark, d):
-    return rounded(H.merge_table(space(spark, d), "vec_id", "score", dims=DIMS), ["height"])
-
-
-@query("linkage_comparison")
-def linkage_comparison(spark, d):
-    return H.compare_linkages(space(spark, d), "vec_id", "score", cut="maxclust", n_clusters=5, dims=DIMS)
+    return H.single_linkage(space(spark, d), "vec_id", "score", 0.5, by=["year"], dims=DIMS).select("year", "vec_id", "cluster")

@@ -79,7 +79,7 @@ p AS (SELECT a.item AS source, b.item AS target, count(*) AS n FROM i a JOIN i b
 e AS (SELECT source, target FROM p JOIN f ON item = source WHERE n >= ceil(0.005 * (SELECT count(*) FROM part)) AND n / freq >= 0.13)
 SELECT node, count(*) AS degree FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY node""")
 def list_text_to_rule_degrees(spark, d):
-    return flows.lists_to_rules(literals(spark, d), "genres", 0.005, 0.13, top=1_000_000).degrees
+    return flows.lists_to_rules(literals(spark, d), "genres", 0.005, 0.13).degrees
 
 
 @query("counts_to_verified_forecast")

@@ -134,7 +134,7 @@ _LOESS = """pts AS (SELECT artist, year, avg(y) AS y FROM (SELECT source AS arti
 near AS (
   SELECT a.artist, a.year, a.y AS y0, CAST(b.year - a.year AS DOUBLE) AS u, b.y AS y,
          row_number() OVER (PARTITION BY a.artist, a.year ORDER BY abs(b.year - a.year), b.year) AS rn,
-         ceil(0.75 * count(*) OVER (PARTITION BY a.artist, a.year)) AS k
+         greatest(floor(0.75 * count(*) OVER (PARTITION BY a.artist, a.year) + 0.00001), 1) AS k
   FROM pts a JOIN pts b ON a.artist = b.artist),
 reach AS (SELECT *, max(CASE WHEN rn = k THEN abs(u) END) OVER (PARTITION BY artist, year) AS h FROM near),
 weighted AS (SELECT *, CASE WHEN abs(u) < h THEN pow(1 - pow(abs(u) / h, 3), 3) WHEN u = 0 THEN 1 ELSE 0 END AS w FROM reach),

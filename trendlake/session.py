@@ -29,15 +29,28 @@ def local_session(cores: int | str = "*", app: str = "trendlake") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, a temporary one only if unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session gets a temporary folder; on
+    several machines no such folder is shared, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     named = tempfile.mkdtemp(prefix="trendlake-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Removes all tables that were written to the shared folder; call it when no result of them is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/trendlake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
