@@ -1,0 +1,418 @@
+import base64
+import gzip
+import hashlib
+import io
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from trendlake.llm import ann, jaccard, mixing, packing, pii, pu_quality, quality_rules, secrets, toxicity, warc, words
+from trendlake.llm import spans as sp
+from trendlake.llm.tables import fold
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(n))
+
+
+ODD = [
+    None, "", " ", "\n\n", "one", "one two", "A b c d", "x" * 5000, prose(1, 400), prose(1, 400), prose(2, 3000),
+    "Ærø \U0001f600 naïve  double  spaces\t\ttabs \n lines", prose(1, 400) + " more", "a b c " * 300, "#*$ <|> " * 40,
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", None) for i, t in enumerate(ODD)]
+    rows += [rows[8], (None, prose(9, 60), None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).withColumn("n_words", F.lit(1)).withColumn("score", F.lit("x"))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# packing
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab'sZ9.,é"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_word_encoder_equals_the_tokenizer(text):
+    whole = Tokenizer.from_file(TOKENIZER)
+    whole.encode_special_tokens = True
+    code = packing.encoder(TOKENIZER)
+    want = whole.encode(text, add_special_tokens=False).ids
+    for _ in range(2):  # the second time from memory
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == want
+
+
+def test_packing_places_every_piece_once_without_gaps(spark, odd):
+    out = packing.pack(odd, TOKENIZER).collect()
+    code = packing.encoder(TOKENIZER)
+    texts = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
+    want = sorted(((i if i is not None else -1), len(code.encode(t)) // 4 + 1) for i, t in texts)
+    got = {}
+    for r in out:
+        assert 1 <= r["length"] <= 1024 and (r["piece"] == 0 or r["length"] == 1024)
+        got.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in got.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(r["length"] for r in out) == sum(n for _, n in want)
+    first = next(r for r in out if r["doc_id"] == 5 and r["piece"] == 0)
+    data = code.encode("one two") + np.array([2], "<u4").tobytes()
+    assert first["ids_crc32"] == zlib.crc32(data) and first["start"] == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_plan_over_counts_is_a_packing_as_tight_as_best_fit(lengths):
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    fill, placed = {}, 0
+    for size, _, n, per, first, offset in packing.plan_runs(counts, 64):
+        for k in range(n):
+            fill.setdefault(first + k // per, []).append((offset + k % per * size, size))
+        placed += n
+    assert placed == len(lengths)
+    for items in fill.values():
+        at = 0
+        for o, s in sorted(items):
+            assert o == at
+            at += s
+        assert at <= 64
+    rooms = []  # best-fit decreasing over single items
+    for s in sorted(lengths, reverse=True):
+        fit = min((r for r in rooms if r >= s), default=None)
+        if fit is None:
+            rooms.append(64 - s)
+        else:
+            rooms[rooms.index(fit)] = fit - s
+    assert len(fill) == len(rooms)
+
+
+def test_ranks_hold_over_hash_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 7)
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (300 + F.col("id") % 2).alias("length"), F.col("id").alias("ids_crc32"))
+    out = packing.best_fit(df).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == 100
+    assert len({r["sequence_id"] for r in out}) == 34
+
+
+# quality rules
+
+def slow_measure(t):
+    ws = WORD.findall(t or "")
+    win = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    cover = {i + j for i, w in enumerate(win) if win.count(w) > 1 for j in range(3)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover))
+
+
+def test_measures_equal_brute_force(odd):
+    rows = quality_rules.measure(odd.drop("n_words").filter("doc_id <> 10")).collect()
+    for r in rows:
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_measure(r["text"])
+
+
+def test_hosts_are_shrunk_and_rejected(spark):
+    good, bad = prose(3, 80), "#*$ " * 80
+    rows = [(i, good if i % 10 else bad, "fine") for i in range(60)] + [(100 + i, bad if i < 55 else good, "junk") for i in range(60)]
+    rows += [(200, bad, "tiny"), (201, good, None)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[1]["kept"] and not out[0]["kept"] and out[201]["kept"]
+    assert not out[158]["kept"] and not out[158]["base_failed"]  # its host is rejected
+    assert 0.3 < out[200]["host_rate"] < 1.0 and out[201]["host"] == ""
+
+
+def test_quality_of_odd_and_empty_tables(odd, none):
+    assert quality_rules.quality_verdicts(odd).count() == odd.count()
+    assert quality_rules.quality_verdicts(none).count() == 0
+
+
+# spans
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def slow_personal(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+MIXED = st.text(alphabet=st.sampled_from("0123456789123456789 -+.()@@ab.é\U0001f600x\n_%"), max_size=80)
+
+
+@settings(max_examples=400, deadline=None)
+@given(MIXED)
+def test_personal_base_spans_equal_the_patterns(text):
+    got = [s for s in pii.find_personal(text) if s[0] in pii.BASE]
+    assert sorted(got, key=lambda s: (s[1], pii.KINDS.index(s[0]))) == slow_personal(text)
+
+
+def test_personal_kinds_and_masking(spark):
+    t = "\U0001f600 mail a.b@x.example.com, 10.0.0.255 or 10.0.0.256; 4111 1111 1111 1111 +1 (555) 555-0123 https://bob:pw1@h.example/x IBAN GB82 WEST 1234 5698 7654 32 account no. 12345678"
+    kinds = {k for k, _, _ in pii.find_personal(t)}
+    assert kinds == set(pii.KINDS)
+    row = pii.personal_spans(spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    base = [s for s in pii.find_personal(t) if s[0] in pii.BASE]
+    assert row[0]["base_sha256"] == hashlib.sha256(sp.written_spans(base, pii.KINDS).encode()).hexdigest()
+    assert row[1]["spans"] == "" and row[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    masked = pii.mask_personal(spark.createDataFrame([(t,), (None,)], "text string")).collect()
+    assert "[EMAIL]" in masked[0][0] and "4111" not in masked[0][0] and masked[1][0] is None
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("tokenTOKENſKpasword=:'\" 0123abcdefAKIAZ_-"), max_size=80).map(lambda t: t.replace("tk", "token=").replace("AA", "AKIA")))
+def test_secret_base_spans_equal_the_patterns(text):
+    want = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    assert sorted(s for s in secrets.find_secrets(text)[0] if s[0] in secrets.BASE) == sorted(want)
+
+
+def test_novel_secrets_are_incompressible_only(spark):
+    random, known = "q7RZp0vLx82KfJdM3TgYwBn5", "changeme_placeholder_1234567"
+    found, cost = secrets.find_secrets(f"Authorization: Bearer {random}\nbearer x {known}\n{known} {known}")
+    assert [k for k, _, _ in found] == ["novel"] and cost[0] >= 0.6 * len(random)
+    assert secrets.secret_spans(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()["spans"] == ""
+
+
+# Jaccard join
+
+def slow_groups(texts, size, percent):
+    def shingles(t):
+        w = WORD.findall((t or "").translate(LOWER))
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+    s = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i for i in s}
+    ids = sorted(s)
+    for i in ids:
+        for j in ids:
+            if i < j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return {i: (len(s[i]), label[i]) for i in s}
+
+
+@pytest.mark.parametrize("size, percent, frequent", [(3, 90, 64), (3, 90, 2), (5, 80, 3), (2, 60, 1)])
+def test_jaccard_groups_equal_brute_force(spark, size, percent, frequent):
+    rng = np.random.default_rng(size * percent + frequent)
+    common = prose(50, 30).split()
+    texts = {i: t for i, t in enumerate(ODD)}
+    bases = [prose(60 + b, n).split() for b, n in enumerate((12, 40, 90, 160))]
+    for i in range(100, 260):
+        w = list(bases[i % 4])
+        for _ in range(rng.integers(0, 6)):
+            at = rng.integers(0, len(w))
+            w[at : at + 1] = [] if rng.random() < 0.4 else [prose(int(rng.integers(1e6)), 1)]
+        texts[i] = " ".join((common if i % 3 == 0 else []) + w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    out = jaccard.near_duplicates(df, size=size, percent=percent, frequent=frequent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == slow_groups(texts, size, percent)
+
+
+def test_jaccard_of_odd_and_empty_tables(odd, none):
+    out = jaccard.near_duplicates(odd).collect()
+    assert len(out) == odd.count() and {r["component_id"] for r in out if r["doc_id"] in (8, 9)} == {8}
+    assert jaccard.near_duplicates(none).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB \t\n\x0b\x1c\x85é "), max_size=12)), max_size=6), st.integers(0, 3))
+def test_words_of_slices(texts, skip):
+    flat, starts = words.split_words(pa.array(["pad é"] * skip + texts, pa.string()).slice(skip))
+    got = [flat.to_pylist()[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    assert got == [WORD.findall((t or "").translate(LOWER)) for t in texts]
+
+
+# WARC
+
+def test_archives_round_trip_by_small_ranges(spark):
+    html = ["", None, "same" * 500, "same" * 500, "x", "é\U0001f600" * 3000, "same" * 500]
+    rows = [(i, f"http://h.example/{i}\r\nX: y" if i % 2 else None, h, "extra") for i, h in enumerate(html)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    want = {}
+    for i, h in enumerate(html):
+        b = (h or "").encode()
+        last = max(j for j, o in enumerate(html) if (o or "") == (h or ""))
+        want[i] = (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if last > i else "response", last if last > i else None)
+    for split in (64, 1 << 20):
+        out = warc.archive_round_trip(df, split=split).collect()
+        assert len(out) == len(rows)
+        assert {r["page_id"]: tuple(r)[1:] for r in out} == want
+    assert warc.archive_round_trip(df.limit(0)).count() == 0
+    small = {r["page_id"]: r["record_type"] for r in warc.archive_round_trip(df, least=5).collect()}
+    assert small[0] == "response" and small[2] == "revisit"
+
+
+def test_reader_owns_records_once_and_ignores_false_magic():
+    noise = b"\x1f\x8b\x08" * 50
+    data = b"".join(gzip.compress(warc.record(i, "u", noise + bytes([i]), "D", None), 0) for i in range(20))
+    whole = list(warc.records_in(io.BytesIO(data), len(data), 0, len(data)))
+    assert len(whole) == 20
+    for step in (37, 256, 1000):
+        parts = [r for a in range(0, len(data), step) for r in warc.records_in(io.BytesIO(data), len(data), a, a + step)]
+        assert parts == whole
+
+
+# classifiers
+
+def corpus(spark, n=600):
+    rows = []
+    for i in range(n):
+        t = prose(1000 + i, 70)
+        toxic, low = i % 5 == 0, i % 4 == 1
+        if toxic:
+            t = t.replace(" ", " idiot, ", 1) + " Moron! schlimmich"
+        if low:
+            t = t.replace(" ", "### ")
+        rows.append((i, t, int(toxic), int(not low)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic", "quality")
+
+
+def test_toxicity_is_learnt_from_the_other_folds(spark):
+    docs, labels = corpus(spark)
+    held = fold("doc_id", 3) == 1
+    model = toxicity.fit_toxicity(docs, labels, ~held)
+    out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").filter(held).toPandas()
+    assert ((out.score >= 0.7) == (out.toxic == 1)).mean() > 0.97
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit_toxicity(docs, flipped, ~held)
+    assert np.array_equal(again.weights, model.weights)
+
+
+def test_toxicity_without_labels_or_texts(spark, odd):
+    empty = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = toxicity.fit_toxicity(odd, empty, F.lit(True))
+    scores = toxicity.score_toxicity(odd, model).toPandas().score
+    assert len(scores) == odd.count() and scores.between(0, 1).all()
+    assert model.score(toxicity.features(pa.array(["you idiot", "hello"]))).round().tolist() == [1, 0]
+
+
+def test_quality_from_positives_and_unlabelled(spark, odd):
+    docs, labels = corpus(spark)
+    held = fold("doc_id", 4) == 2
+    out = pu_quality.quality_scores(docs, labels, ~held).join(labels, "doc_id").filter(held).toPandas()
+    assert ((out.score >= 0.7) == (out.quality == 1)).mean() > 0.97
+    assert pu_quality.quality_scores(odd, labels, ~held).count() == odd.count()
+
+
+# nearest neighbours
+
+def test_multi_index_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    codes[250:] = codes[:250] ^ (np.uint64(1) << rng.integers(0, 63, 250).astype(np.uint64))
+    index = ann.MultiIndex(codes)
+    for r in (0, 3, 7, 12, 30, 64):
+        for q in codes[:20]:
+            assert index.within(q, r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= r).tolist()
+
+
+def test_neighbours_recall_order_and_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 16)).round(3)
+    x[700:760] = x[700]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] + [1.0] * 15), (2080, [float("inf")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.nearest(df, df.filter("vec_id % 20 = 0").select("vec_id"), block=400).toPandas()
+    assert set(out.query_id) == set(range(0, 1500, 20))
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        g = g.sort_values("rank")
+        s = x @ x[q]
+        assert np.allclose(s[g.vec_id], g.score, rtol=1e-12) and g["rank"].tolist() == list(range(1, 21))
+        assert q not in set(g.vec_id)
+        assert list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
+        order = np.lexsort((np.arange(1500), -s))
+        hit += len(set(order[order != q][:20]) & set(g.vec_id))
+    assert hit >= 0.9 * 20 * 75
+    few = ann.nearest(df.limit(3), df.limit(1).select("vec_id")).collect()
+    assert len(few) == 2
+    assert ann.nearest(df.limit(0), df.select("vec_id")).count() == 0
+
+
+# mixing
+
+def test_mixing_follows_the_weights_and_repeats_itself(spark):
+    rows = [(i, "x" * 10, "big" if i < 3000 else "small" if i < 3300 else None) for i in range(3400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_n", F.lit("kept"))
+    weights = spark.createDataFrame([("big", 1.0), ("small", 1.0), ("", 2.0)], "source string, weight double")
+    out = mixing.mix_sources(df.drop("_n"), weights=weights).toPandas()
+    share = out.source.fillna("").value_counts(normalize=True)
+    assert abs(share["big"] - 0.25) < 0.03 and abs(share["small"] - 0.25) < 0.03 and abs(share[""] - 0.5) < 0.03
+    assert out.shuffle_key.is_monotonic_increasing
+    again = mixing.mix_sources(df.drop("_n").repartition(7), weights=weights).toPandas()
+    pd.testing.assert_frame_equal(out, again)
+
+
+def test_poisson_inverts_the_distribution(spark):
+    rate = 0.7
+    df = spark.range(1, 20000).select(mixing.copies(F.col("id"), F.lit(rate), 3).alias("k"), mixing.copies(F.col("id"), F.lit(150.0), 3).alias("many"))
+    got = df.agg(F.avg("k"), F.var_samp("k"), F.avg("many"), F.var_samp("many")).first()
+    assert got[0] == pytest.approx(rate, rel=0.05) and got[1] == pytest.approx(rate, rel=0.06)
+    assert got[2] == pytest.approx(150, rel=0.01) and got[3] == pytest.approx(150, rel=0.06)
+
+
+def test_mixing_of_odd_and_empty_tables(odd, none):
+    out = mixing.mix_sources(odd)
+    assert set(odd.columns) < set(out.columns) and out.count() >= 0
+    assert mixing.mix_sources(none).count() == 0
+
+
+# pipeline
+
+def test_pipeline_stages_keep_their_contracts(spark, odd, none):
+    assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+    for start in (odd.select(*corpus_pipeline.COLUMNS), none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "").cache()
+            assert docs.columns == list(corpus_pipeline.COLUMNS), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
+
+
+def test_pipeline_drops_copies_and_masks(spark):
+    a, b = prose(70, 90), prose(71, 90)
+    rows = [(1, a, "en", "s", 0), (2, a + " end", "en", "s", 0), (3, b + " mail x@y.example.com", "en", "s", 0), (4, "short", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = corpus_pipeline.keep_quality(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3}
+    single = corpus_pipeline.drop_near_duplicates(spark, kept, "")
+    assert {r["doc_id"] for r in single.collect()} == {1, 3}
+    masked = {r["doc_id"]: r for r in corpus_pipeline.mask_personal_data(spark, single, "").collect()}
+    assert masked[3]["text"].endswith("mail [EMAIL]") and masked[3]["n_chars"] == len(masked[3]["text"])

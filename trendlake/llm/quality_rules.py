@@ -116,8 +116,8 @@ def host_rates(measured: DataFrame, host: str = "host") -> DataFrame:
     m = F.col("f") / F.col("n")
     spread = F.col("f2") - F.col("n") * m * m
     chance = m * (1 - m)
-    rho = (spread - chance * (F.col("k") - 1)) / (chance * (F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1)))
-    strength = F.when(rho > 0, F.greatest(1 / rho - 1, F.lit(0.0))).otherwise(F.col("n"))
+    rho = F.try_divide(spread - chance * (F.col("k") - 1), chance * (F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1)))
+    strength = F.when(rho > 0, F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(0.0))).otherwise(F.col("n"))
     prior = pool.select(F.struct(m.alias("m"), F.coalesce(strength, F.col("n")).alias("s")).alias("p")).scalar()
     return hosts.withColumn("_p", prior).select(
         host, "host_docs", "host_failed",
