@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.llm import words
-from trendlake.llm.tables import written
+from trendlake.llm.tables import discard, written
 from trendlake.operators.components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -236,7 +236,9 @@ def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, siz
     combos = marked.mapInArrow(
         lambda batches: _combined(percent, batches), "sig long, rep long, n long, room long"
     )
-    return singles.unionByName(combos)
+    index = written(singles.unionByName(combos))
+    discard(often, rares, hard)
+    return index
 
 
 def _whole(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
@@ -269,7 +271,7 @@ def near_duplicates(
         .agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
     )
     heads = classes.filter("rep is not null and n > 1")
-    index = written(jaccard_index(docs, heads, id_col, text, size, percent, frequent))
+    index = jaccard_index(docs, heads, id_col, text, size, percent, frequent)
     buckets = index.groupBy("sig").agg(
         F.count(F.lit(1)).alias("members"), F.max_by("rep", F.struct("room", -F.col("rep"))).alias("leader"),
         F.max_by(F.struct("n", "room"), F.struct("room", -F.col("rep"))).alias("first"),
@@ -277,6 +279,7 @@ def near_duplicates(
     live = written(
         index.join(buckets, "sig").select("sig", "rep", "n", "room", "leader", F.col("first.n").alias("ln"), F.col("first.room").alias("lroom"))
     )
+    discard(index)
 
     def whole(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -286,7 +289,9 @@ def near_duplicates(
     near = written(_screened(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), heads, percent))
     chosen = written(_pivots(near))
     pairs = written(near.select("a", "b").union(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct())
-    compared = written(_compared(pairs, whole(pairs), percent))
+    near_sets = whole(pairs)
+    compared = written(_compared(pairs, near_sets, percent))
+    discard(near, pairs, near_sets)
     first = written(compared.filter("linked").select("a", "b").distinct())
     groups = written(_components(first))
     pivots = written(_differences(compared, chosen).join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
@@ -294,8 +299,10 @@ def near_duplicates(
         live.select("sig", "rep", "n", "room").join(groups, "rep", "left").join(pivots.select("rep", "pivot"), "rep", "left")
         .withColumns({"component": F.coalesce("component", "rep"), "pivot": F.coalesce("pivot", "rep")})
     )
+    discard(compared, chosen, groups, live)
     apart = grouped.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("sig")
     open_rows = written(grouped.join(apart, "sig", "left_semi"))
+    discard(grouped)
     fields = ("rep", "n", "room", "component", "pivot")
     x = open_rows.select("sig", *[F.col(c).alias(f"{c}1") for c in fields])
     y = open_rows.select("sig", *[F.col(c).alias(f"{c}2") for c in fields])
@@ -307,8 +314,12 @@ def near_duplicates(
     )
     rest = _screened(across.union(_within_pivots(pivots, percent)).distinct(), heads, percent).filter("possible")
     rest = written(rest)
-    second = _compared(rest, whole(rest), percent).filter("linked").select("a", "b").distinct()
-    final = _components(written(first.unionByName(second)))
+    discard(open_rows, pivots)
+    rest_sets = whole(rest)
+    second = _compared(rest, rest_sets, percent).filter("linked").select("a", "b").distinct()
+    links = written(first.unionByName(second))
+    discard(rest, rest_sets, first)
+    final = _components(links)
     named = classes.select("digest", "rep").join(final, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )

@@ -24,6 +24,8 @@ MIN_LINES_FOR_DUP_RULE = 4
 MEAN_WORD_LENGTH = (2.0, 20.0)
 #: A host is rejected when its shrunk failure rate is above this.
 HOST_LIMIT = 0.6
+#: The prior never weighs less than this many documents, so one document can't set its host's rate.
+LEAST_STRENGTH = 2.0
 
 
 def _windows(words: Column) -> Column:
@@ -117,7 +119,7 @@ def host_rates(measured: DataFrame, host: str = "host") -> DataFrame:
     spread = F.col("f2") - F.col("n") * m * m
     chance = m * (1 - m)
     rho = F.try_divide(spread - chance * (F.col("k") - 1), chance * (F.col("n") - F.col("n2") / F.col("n") - (F.col("k") - 1)))
-    strength = F.when(rho > 0, F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(0.0))).otherwise(F.col("n"))
+    strength = F.when(rho > 0, F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(LEAST_STRENGTH))).otherwise(F.col("n"))
     prior = pool.select(F.struct(m.alias("m"), F.coalesce(strength, F.col("n")).alias("s")).alias("p")).scalar()
     return hosts.withColumn("_p", prior).select(
         host, "host_docs", "host_failed",

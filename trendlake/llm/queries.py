@@ -106,7 +106,7 @@ WITH d AS (
   SELECT n, f / n AS m, CASE WHEN f > 0 AND f < n AND n - n2 / n - (k - 1) <> 0 THEN
     ((f2 - n * (f / n) * (f / n)) - (f / n) * (1 - f / n) * (k - 1)) / ((f / n) * (1 - f / n) * (n - n2 / n - (k - 1))) END AS rho FROM p
 ), s AS (
-  SELECT m, coalesce(CASE WHEN rho > 0 THEN greatest(1 / rho - 1, 0) ELSE n END, n) AS s FROM r
+  SELECT m, coalesce(CASE WHEN rho > 0 THEN greatest(1 / rho - 1, 2.0::DOUBLE) ELSE n END, n) AS s FROM r
 ), hr AS (
   SELECT host, host_docs, host_failed, (host_failed + s.m * s.s) / (host_docs + s.s) AS rate FROM h, s
 )

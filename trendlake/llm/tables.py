@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.session import materialise
+from trendlake.session import shared_folder
 
 WHITE = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,13 +19,25 @@ def written(df: DataFrame) -> DataFrame:
     The shuffle files behind the write are of no further use, so they are
     removed as soon as it ends instead of when the driver collects garbage.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/trendlake/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
-        return materialise(df)
+        df.write.parquet(path)
     finally:
-        conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(key: str | Column, folds: int) -> Column:
