@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendlake.operators import basket, cluster, dbscan, features, forecast, hierarchy
+from trendlake.operators import basket, cluster, dbscan, features, forecast, hierarchy, series
 from trendlake.operators.components import connected_components
 
 
@@ -258,10 +258,46 @@ def test_changepoints_follow_a_bend(spark):
     df = series_frame(spark, 1000, lambda i: 0.01 * i if i < 400 else 4.0 - 0.02 * (i - 400))
     m = forecast.fit(df, forecast.Design(changepoints=25, ridge=1e-4))
     worst = m.predict(df).join(df, "ds").agg(F.max(F.abs(F.col("yhat") - F.col("y")))).first()[0]
-    assert worst < 0.3 and m.coefficient_table(spark).filter("lower IS NOT NULL").count() == 0
+    assert worst < 0.3 and m.coefficient_table(spark).filter("lower < upper").count() == 1 + len(m.columns)
 
 
 def test_half_split_replicates(spark, points):
     design = forecast.Design()
     out = forecast.half_split_replication(points, ["id"], ["u", "v"], [0, 1, 100], design).collect()
     assert [r["range"] for r in out] == ["0.0-1.0", "1.0-100.0"] and all(r["n"] == 4 for r in out)
+
+
+def test_neighbouring_holidays_share_a_day(spark):
+    df = series_frame(spark, 1461, lambda i: 10.0 + (3.0 if (dt.date(2010, 1, 1) + dt.timedelta(days=i)).strftime("%m%d") == "1226" else 0.0))
+    days = [(dt.date(y, 12, d), name) for y in range(2010, 2015) for d, name in ((25, "Christmas Day"), (26, "Boxing Day"))]
+    cal = spark.createDataFrame(days, "ds date, holiday string")
+    design = forecast.Design(holidays=("Christmas Day", "Boxing Day"))
+    m = forecast.fit(df, design, cal)
+    c = {r["term"]: r for r in m.coefficient_table(spark).collect()}
+    both = c["holiday_Christmas Day_1"]["coefficient"] + c["holiday_Boxing Day_0"]["coefficient"]
+    assert both == pytest.approx(3.0, abs=0.01) and all(r["lower"] is not None for r in c.values())
+    own = forecast.Design(holidays=("Christmas Day", "Boxing Day"), holiday_windows=(("Christmas Day", 0, 0),))
+    terms = forecast.fit(df, own, cal).columns
+    assert [t for t in terms if "Christmas" in t] == ["holiday_Christmas Day_0"] and len(terms) == 7
+    with pytest.raises(ValueError, match="holiday_Boxing Day_0"):
+        forecast.fit(df, forecast.Design(holidays=("Christmas Day", "Boxing Day"), penalties=()), cal)
+
+
+def test_a_regressor_equal_to_time_is_named(spark):
+    df = series_frame(spark, 200, lambda i: 1.0 + i).withColumn("late", F.datediff("ds", F.lit("2000-01-01")).cast("double"))
+    with pytest.raises(ValueError, match="late"):
+        forecast.fit(df, forecast.Design(regressors=("late",)))
+    m = forecast.fit(df, forecast.Design(regressors=("late",), penalties=(("late", 0.1),)))
+    assert m.predict(df).join(df, "ds").agg(F.max(F.abs(F.col("yhat") - F.col("y")))).first()[0] < 1e-6
+
+
+def test_penalties_shrink_their_own_terms(spark):
+    df = series_frame(spark, 400, lambda i: (1.0 if i % 2 else -1.0) + 0.01 * i).withColumn("flip", F.when(F.datediff("ds", F.lit("2010-01-01")) % 2 == 1, 1.0).otherwise(-1.0))
+    c = {r["term"]: r["coefficient"] for r in forecast.fit(df, forecast.Design(regressors=("flip",), penalties=(("flip", 1.0),))).coefficient_table(spark).collect()}
+    assert c["flip"] == pytest.approx(0.5, abs=0.01) and c["trend"] == pytest.approx(3.99, abs=0.05)
+
+
+def test_events_may_have_their_own_window(spark):
+    cal = spark.createDataFrame([(dt.date(2010, 5, 1), "a", 0, 1), (dt.date(2010, 6, 1), "b", None, None)], "ds date, holiday string, lower_window int, upper_window int")
+    got = {(r["holiday"], r["day"]) for r in series.event_windows(cal, -1, 0).collect()}
+    assert got == {("a", 0), ("a", 1), ("b", -1), ("b", 0)}

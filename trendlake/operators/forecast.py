@@ -1,9 +1,11 @@
 """Seasonal-intervention regression: trend, cycles, event windows, steps, ramps and outside regressors.
 
-Design columns are expressions over ``ds`` and the fit is Spark's linear
-regression. Intervals come from the residual variance and the least-squares
-standard errors. The multiplicative form fits log(1 + y); back-transformed
-values estimate the median rather than the mean.
+Design columns are expressions over ``ds``. Tasks add up the moments of the
+standardised columns, and the normal equations over the terms, whose number
+the design bounds, are solved once. Every part may have its own penalty;
+intervals come from the residual variance and the inverse of the penalised
+equations. The multiplicative form fits log(1 + y); back-transformed values
+estimate the median rather than the mean.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,17 @@ class Design:
     regressors: tuple[str, ...] = ()
     holidays: tuple[str, ...] = ()  # names in the calendar
     holiday_window: tuple[int, int] = (-2, 2)
+    holiday_windows: tuple[tuple[str, int, int], ...] = ()  # name, first and last day of holidays with a window of their own
     changepoints: int = 0  # hinges over the first 80% of the training range
     multiplicative: bool = False
-    ridge: float = 0.0
+    ridge: float = 0.0  # penalty of every term that penalties does not name
+    #: Part or term name and its penalty. Days of neighbouring holidays may coincide, so they have a slight one.
+    penalties: tuple[tuple[str, float], ...] = (("holidays", 1e-6),)
+
+    def penalty(self, term: str, part: str) -> float:
+        """The weight of a term's squared coefficient, in deviations of the term, next to the mean squared error."""
+        own = dict(self.penalties)
+        return own.get(term, own.get(part, self.ridge))
 
 
 @dataclass
@@ -48,7 +58,7 @@ class Fitted:
     parts: dict[str, str]
     intercept: float
     coefficients: list[float]
-    errors: list[float] | None  # of the coefficients, then the intercept
+    errors: list[float]  # of the coefficients, then the intercept
     sigma: float
     calendar: DataFrame | None = None
     level: float = 0.8
@@ -84,11 +94,11 @@ class Fitted:
         return rows.select("ds", *[v.alias(k) for k, v in sums.items()])
 
     def coefficient_table(self, spark, names: Sequence[str] | None = None) -> DataFrame:
-        """``term, coefficient, lower, upper``: 95% intervals, null where the fit is regularised."""
+        """``term, coefficient, lower, upper``: 95% intervals, for penalised terms those of a normal prior of that weight."""
         terms = [("intercept", self.intercept), *zip(self.columns, self.coefficients)]
-        errors = [None] * len(terms) if self.errors is None else [self.errors[-1], *self.errors[:-1]]
+        errors = [self.errors[-1], *self.errors[:-1]]
         rows = [
-            (n, float(c), None if e is None else float(c - 1.96 * e), None if e is None else float(c + 1.96 * e))
+            (n, float(c), float(c - 1.96 * e), float(c + 1.96 * e))
             for (n, c), e in zip(terms, errors) if names is None or n in names
         ]
         return spark.createDataFrame(rows, "term string, coefficient double, lower double, upper double")
@@ -125,10 +135,12 @@ def design_columns(
         parts[name] = name
     out = df.withColumns(named)
     if design.holidays and calendar is not None:
-        low, high = design.holiday_window
+        windows = {h: design.holiday_window for h in design.holidays}
+        windows |= {h: (a, b) for h, a, b in design.holiday_windows if h in windows}
+        low, high = min(a for a, _ in windows.values()), max(b for _, b in windows.values())
         flags = {
             f"holiday_{h}_{k}": F.max(F.when((F.col("holiday") == h) & (F.col("day") == k), 1.0).otherwise(0.0))
-            for h in design.holidays for k in range(low, high + 1)
+            for h, (a, b) in windows.items() for k in range(a, b + 1)
         }
         days = event_windows(calendar, low, high).groupBy("ds").agg(*[v.alias(k) for k, v in flags.items()])
         out = out.join(days, "ds", "left").na.fill(0.0, list(flags))
@@ -136,31 +148,80 @@ def design_columns(
     return out, parts
 
 
+def _moments(rows: DataFrame, columns: Sequence[str], centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Sums of products of the standardised ``columns``, added up inside tasks first."""
+    k = len(columns)
+
+    def run(frames):
+        total = np.zeros((k, k))
+        for frame in frames:
+            x = (frame.to_numpy(float) - centre) / scale
+            total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(k * k), "v": total.ravel()})
+
+    picked = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = picked.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(k * k)
+    for r in sums:
+        out[r["at"]] = r["v"]
+    return out.reshape(k, k)
+
+
+def _dependent(c: np.ndarray, least: float = 1e-9) -> list[int]:
+    """Places of standardised terms of which less than ``least`` is left beside the terms before them."""
+    kept: list[int] = []
+    out = []
+    for j in range(len(c)):
+        left = c[j, j] - (c[j, kept] @ np.linalg.solve(c[np.ix_(kept, kept)], c[kept, j]) if kept else 0.0)
+        (kept if left > least else out).append(j)
+    return out
+
+
 def fit(train: DataFrame, design: Design, calendar: DataFrame | None = None, level: float = 0.8) -> Fitted:
-    """Fit on rows with ``ds, y`` and the regressors. Terms that never vary in training are left out."""
+    """Fit on rows with ``ds, y`` and the regressors. Terms that never vary in training are left out.
+
+    Terms without a penalty that depend linearly on one another have no
+    single answer: they are named in an error.
+    """
     # A series is short but may be the sum of a very large table: computed once.
     train = materialise(train)
     day = days_since_epoch("ds")
     ends = train.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    if ends["a"] is None:
+        raise ValueError("no dated row to fit on")
     span = (float(ends["a"]), float(ends["b"]))
     rows, parts = design_columns(train.filter(F.col("y").isNotNull()), design, span, calendar)
-    target = F.log1p("y") if design.multiplicative else F.col("y").cast("double")
-    rows = rows.withColumn("_y", target)
-    names = list(parts)
-    varies = rows.agg(*[(F.max(f"`{n}`") > F.min(f"`{n}`")).alias(n) for n in names]).first()
-    columns = [n for n in names if varies[n]]
-    vectors = VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip").transform(rows).select("_x", "_y")
-    lr = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal", regParam=design.ridge, elasticNetParam=0.0)
-    model = lr.fit(vectors)
-    summary = model.summary
-    free = max(int(summary.numInstances) - len(columns) - 1, 1)
-    sigma = math.sqrt(summary.meanSquaredError * summary.numInstances / free)
-    errors = None
-    if design.ridge == 0.0:
-        errors = [float(e) for e in summary.coefficientStandardErrors]
+    rows = rows.withColumn("_y", F.log1p("y") if design.multiplicative else F.col("y").cast("double"))
+    rows = rows.dropna(subset=[*parts, "_y"])
+    names = [*parts, "_y"]
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.avg(f"`{n}`").alias("m"), F.stddev_pop(f"`{n}`").alias("s"), (F.max(f"`{n}`") > F.min(f"`{n}`")).alias("v")).alias(f"s{i}")
+        for i, n in enumerate(names)
+    ]).first()
+    if not seen["n"]:
+        raise ValueError("no row has y and all regressors")
+    stats = {n: seen[f"s{i}"] for i, n in enumerate(names)}
+    columns = [n for n in parts if stats[n]["v"] and stats[n]["s"] > 0]
+    n, k = int(seen["n"]), len(columns)
+    mean = np.array([stats[c]["m"] for c in [*columns, "_y"]], dtype=float)
+    scale = np.array([stats[c]["s"] for c in columns] + [1.0], dtype=float)
+    m = _moments(rows, [*columns, "_y"], mean, scale) / n
+    c, xy, yy = m[:k, :k], m[:k, k], m[k, k]
+    weights = np.array([design.penalty(t, parts[t]) for t in columns])
+    free_terms = np.flatnonzero(weights == 0.0)
+    tied = [columns[free_terms[j]] for j in _dependent(c[np.ix_(free_terms, free_terms)])]
+    if tied:
+        raise ValueError(f"terms depend linearly on others; leave them out or give them a penalty: {', '.join(tied)}")
+    inverse = np.linalg.inv(c + np.diag(weights)) if k else np.zeros((0, 0))
+    beta = inverse @ xy
+    free = max(n - 1 - float(np.trace(c @ inverse)), 1.0)
+    sigma = math.sqrt(max(float(yy - 2 * beta @ xy + beta @ c @ beta), 0.0) * n / free)
+    spread = inverse / np.outer(scale[:k], scale[:k]) * (sigma * sigma / n)
+    beta = beta / scale[:k]
+    own = math.sqrt(sigma * sigma / n + float(mean[:k] @ spread @ mean[:k]))
     return Fitted(
-        design, span, columns, {c: parts[c] for c in columns}, float(model.intercept),
-        [float(c) for c in model.coefficients], errors, sigma, calendar, level,
+        design, span, columns, {t: parts[t] for t in columns}, float(mean[k] - beta @ mean[:k]), [float(b) for b in beta],
+        [*(float(e) for e in np.sqrt(np.diag(spread))), own], sigma, calendar, level,
     )
 
 

@@ -127,8 +127,16 @@ def event_calendar(events: DataFrame, suffix: str = " (Observed)") -> DataFrame:
 
 
 def event_windows(calendar: DataFrame, lower: int = -2, upper: int = 2) -> DataFrame:
-    """``ds, holiday, day``: one row per day of each event's window."""
-    return calendar.withColumn("day", F.explode(F.sequence(F.lit(lower), F.lit(upper)))).select(
+    """``ds, holiday, day``: one row per day of each event's window.
+
+    Events with a ``lower_window`` or ``upper_window`` of their own in the calendar take that.
+    """
+    first, last = (
+        F.coalesce(F.col(c).cast("int"), F.lit(d)) if c in calendar.columns else F.lit(d)
+        for c, d in (("lower_window", lower), ("upper_window", upper))
+    )
+    days = F.when(first <= last, F.sequence(first, last))
+    return calendar.withColumn("day", F.explode(days)).select(
         F.date_add(F.col("ds"), F.col("day")).alias("ds"), "holiday", "day"
     )
 
