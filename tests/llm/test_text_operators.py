@@ -416,3 +416,18 @@ def test_pipeline_drops_copies_and_masks(spark):
     assert {r["doc_id"] for r in single.collect()} == {1, 3}
     masked = {r["doc_id"]: r for r in corpus_pipeline.mask_personal_data(spark, single, "").collect()}
     assert masked[3]["text"].endswith("mail [EMAIL]") and masked[3]["n_chars"] == len(masked[3]["text"])
+
+
+def test_warc_ranges_end_with_the_file():
+    import io
+
+    class Counted(io.BytesIO):
+        reads = 0
+
+        def read(self, *args):
+            Counted.reads += 1
+            return super().read(*args)
+
+    data = warc._member(warc.record(1, None, b"a", warc.base64.b32encode(warc.hashlib.sha1(b"a").digest()).decode(), None))
+    assert [warc.parsed(r)[:2] for r in warc.records_in(Counted(data), len(data), 0, 1 << 50)] == [(1, 1)]
+    assert Counted.reads <= 2

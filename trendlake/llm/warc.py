@@ -150,7 +150,7 @@ def _decoded(window: _Window, at: int, only_header: bool = False) -> tuple[bytes
 def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """The records whose members start in [start, end)."""
     window = _Window(file, size)
-    at, chained = start, False
+    at, chained, end = start, False, min(end, size)
     while at < end:
         if not chained:
             block = window.take(at, _READ)
