@@ -165,16 +165,38 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _pivots(near: DataFrame) -> DataFrame:
-    """rep, pivot: the near leader with most near members, or that leader's own one if it has still more."""
+    """rep, pivot: the near leader with most near members, or the one that leaders above it lead up to.
+
+    A leader's way up is the largest leader that it or one of its near members
+    has. Each step goes to a leader with more near members, so the climb ends,
+    and doubling its steps takes logarithmically many rounds. Any pivot gives
+    the same links; one for a whole group of near copies leaves fewest pairs.
+    """
     near = near.filter("near").select("a", "b")
     follow = near.groupBy("a").agg(F.count(F.lit(1)).alias("followers"))
     best = near.join(follow, "a").groupBy(F.col("b").alias("rep")).agg(
         F.max(F.struct("followers", (-F.col("a")).alias("minus"))).alias("m")
     ).select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers"))
-    best = written(best)
-    above = best.select(F.col("rep").alias("pivot"), F.col("pivot").alias("above"), F.col("followers").alias("more"))
-    up = (F.col("more") > F.col("followers")) & (F.col("above") != F.col("rep"))
-    return best.join(above, "pivot", "left").select("rep", F.when(up, F.col("above")).otherwise(F.col("pivot")).alias("pivot"))
+    members = written(best)
+    over = near.join(members, F.col("b") == F.col("rep")).select(F.col("a").alias("rep"), "pivot", "followers").filter("pivot <> rep")
+    best = written(
+        members.unionByName(over).groupBy("rep").agg(F.max(F.struct("followers", (-F.col("pivot")).alias("minus"))).alias("m"))
+        .select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers"))
+    )
+    discard(members)
+    while True:
+        above = best.select(F.col("rep").alias("pivot"), F.col("pivot").alias("above"), F.col("followers").alias("more"))
+        up = (F.col("more") > F.col("followers")) & (F.col("above") != F.col("rep"))
+        climbed = written(
+            best.join(above, "pivot", "left").withColumn("up", F.coalesce(up, F.lit(False))).select(
+                "rep", F.when(F.col("up"), F.col("above")).otherwise(F.col("pivot")).alias("pivot"),
+                F.when(F.col("up"), F.col("more")).otherwise(F.col("followers")).alias("followers"), "up",
+            )
+        )
+        discard(best)
+        best = climbed
+        if best.filter("up").isEmpty():
+            return best
 
 
 def _differences(compared: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -287,7 +309,7 @@ def near_duplicates(
 
     star = live.filter(F.col("rep") != F.col("leader")).filter(_possible(percent, "n", "room", "ln", "lroom"))
     near = written(_screened(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), heads, percent))
-    chosen = written(_pivots(near))
+    chosen = _pivots(near)
     pairs = written(near.select("a", "b").union(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct())
     near_sets = whole(pairs)
     compared = written(_compared(pairs, near_sets, percent))
