@@ -431,3 +431,11 @@ def test_warc_ranges_end_with_the_file():
     data = warc._member(warc.record(1, None, b"a", warc.base64.b32encode(warc.hashlib.sha1(b"a").digest()).decode(), None))
     assert [warc.parsed(r)[:2] for r in warc.records_in(Counted(data), len(data), 0, 1 << 50)] == [(1, 1)]
     assert Counted.reads <= 2
+
+
+def test_leaders_that_share_members_lead_to_one_pivot(spark):
+    near = [(1, b) for b in (2, 3, 4, 5, 6)] + [(10, b) for b in (5, 6, 11, 12)] + [(20, b) for b in (12, 21)] + [(30, 31)]
+    df = spark.createDataFrame([(a, b, True) for a, b in near] + [(1, 31, False)], "a long, b long, near boolean")
+    out = {r["rep"]: r["pivot"] for r in jaccard._pivots(df).collect()}
+    assert out == {**dict.fromkeys((2, 3, 4, 5, 6, 10, 11, 12, 20, 21), 1), 31: 30}
+    assert jaccard._pivots(df.limit(0)).count() == 0
