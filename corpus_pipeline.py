@@ -18,10 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows without an id are judged by their own text alone."""
-    verdicts = quality_rules.quality_verdicts(docs).filter("kept").select("doc_id", "n_words", "word_chars").distinct()
-    own = quality_rules.measure(docs.select(*COLUMNS), "text")
-    return own.join(verdicts, ["doc_id", "n_words", "word_chars"], "left_semi").select(*COLUMNS)
+    """Documents that the quality rules keep, each row judged by its own text and its host, with an id or without."""
+    return quality_rules.kept_rows(docs.select(*COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

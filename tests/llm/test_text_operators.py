@@ -439,3 +439,16 @@ def test_leaders_that_share_members_lead_to_one_pivot(spark):
     out = {r["rep"]: r["pivot"] for r in jaccard._pivots(df).collect()}
     assert out == {**dict.fromkeys((2, 3, 4, 5, 6, 10, 11, 12, 20, 21), 1), 31: 30}
     assert jaccard._pivots(df.limit(0)).count() == 0
+
+
+def test_quality_stage_judges_rows_without_an_id(spark):
+    good, bad = prose(80, 90), "#*$ " * 80
+    rows = [(None, good, "en", "s", 0), (None, good, "en", None, 1), (None, bad, "en", "s", 2), (7, good, "en", "s", 3), (7, bad, "en", "s", 4)]
+    rows += [(None, good if i == 0 else bad, "en", "junk", 10 + i) for i in range(40)]
+    rows += rows[:1]
+    kept = corpus_pipeline.keep_quality(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(r["n_chars"] for r in kept.collect()) == [0, 0, 1, 3]
+    docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    by_id = quality_rules.quality_verdicts(docs).filter("kept").collect()
+    assert sorted(r["doc_id"] for r in by_id) == sorted(r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, "").collect()) == [0, 1, 3, 45]

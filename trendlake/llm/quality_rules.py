@@ -145,3 +145,23 @@ def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         "base_failed", "soft_failures", "host", "host_docs", "host_failed", "host_rate",
         (~F.col("base_failed") & (F.col("soft_failures") == 0) & (F.col("host_rate") <= HOST_LIMIT)).alias("kept"),
     )
+
+
+def kept_rows(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``df`` that ``quality_verdicts`` keeps, judged row by row without use of an id.
+
+    Texts are measured twice, for the hosts and for the rows, so that they
+    are not written between; only the rejected hosts are.
+    """
+    base, soft = rules()
+
+    def judged(rows: DataFrame) -> DataFrame:
+        measured = measure(rows.withColumn("_host", empty_if_null(host)).withColumn("_text", F.col(text)), "_text")
+        return measured.withColumn("base_failed", base).withColumn("soft_failures", soft)
+
+    rejected = written(host_rates(judged(df.select(text, host)), "_host").filter(F.col("host_rate") > HOST_LIMIT).select("_host"))
+    own = judged(df.select(F.struct(*df.columns).alias("_row"), F.col(text), F.col(host))).withColumn("_at", F.monotonically_increasing_id())
+    # a filter that reads the row number stays above the measures, which pushing it down would repeat for every use
+    passed = (F.col("_at") >= 0) & ~F.col("base_failed") & (F.col("soft_failures") == 0)
+    kept = own.filter(passed).join(rejected, "_host", "left_anti")
+    return kept.select("_row.*")
