@@ -452,3 +452,18 @@ def test_quality_stage_judges_rows_without_an_id(spark):
     docs = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
     by_id = quality_rules.quality_verdicts(docs).filter("kept").collect()
     assert sorted(r["doc_id"] for r in by_id) == sorted(r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, "").collect()) == [0, 1, 3, 45]
+
+
+def test_mixing_draws_rows_without_an_id_one_by_one(spark):
+    sizes = {"big": 3000, "small": 300, None: 600}
+    rows = [(f"{i:010d}", s) for s, n in sizes.items() for i in range(n)]
+    rows = [(k if k % 3 else None, t, s) for k, (t, s) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("big", 1.0), ("small", 1.0), ("", 2.0)], "source string, weight double")
+    out = mixing.mix_sources(df, weights=weights).toPandas()
+    bare = out[out.doc_id.isna()]
+    for part in (out, bare):
+        share = part.source.fillna("").value_counts(normalize=True)
+        assert abs(share["big"] - 0.25) < 0.06 and abs(share["small"] - 0.25) < 0.06 and abs(share[""] - 0.5) < 0.06
+    assert abs(len(bare) / len(out) - 1 / 3) < 0.05 and bare.shuffle_key.nunique() == len(bare)
+    pd.testing.assert_frame_equal(out, mixing.mix_sources(df.repartition(7), weights=weights).toPandas())

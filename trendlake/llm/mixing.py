@@ -3,12 +3,13 @@
 A source's mean repetition rate is its target share of the output divided by
 its share of the input. Each document draws its number of copies by inverting
 a Poisson distribution with that mean at a uniform number hashed from its id
-and a seed, is repeated so often, and all copies are put in a global order by
+and a seed (without an id: from all its columns and the seed), is repeated so often, and all copies are put in a global order by
 hash. Everything is a column expression; only the table with one row per
 source is aggregated.
 
 The draw depends on the id, the seed and the source's rate alone, so a lost
-task draws the same again. Null sources form the source "" with its own
+task draws the same again. Rows without an id have the md5 of all their
+columns, text included, in its place, for the draw and for the order. Null sources form the source "" with its own
 weight; null texts count as size 0; sources of size 0 keep rate 1. Repeated
 rows draw the same number each. Extra columns stay, but the names copy and
 shuffle_key are taken. An empty table gives an empty one.
@@ -53,6 +54,11 @@ def copies(key: Column, rate: Column, seed: int) -> Column:
     )
 
 
+def own_key(df: DataFrame, id_col: str) -> Column:
+    """The md5 of all columns of a row without an id, null for others."""
+    return F.when(F.col(id_col).isNull(), F.md5(F.to_json(F.struct(*df.columns)).cast("binary")))
+
+
 def rates_by_size(sizes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``source, rate`` from ``source, size`` and target ``source, weight``; the total size is kept.
 
@@ -82,9 +88,9 @@ def mix_sources(
     )
     rates = written(rates_by_size(sizes, weights)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     drawn = (
-        df.withColumn("_source", empty_if_null(source)).join(rates, "_source")
-        .withColumn("_n", copies(F.col(id_col), F.col("_rate"), seed)).filter("_n > 0")
-        .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+        df.withColumns({"_own": own_key(df, id_col), "_source": empty_if_null(source)}).join(rates, "_source")
+        .withColumn("_n", copies(F.coalesce(F.col(id_col).cast("string"), F.col("_own")), F.col("_rate"), seed)).filter("_n > 0")
+        .select(*df.columns, "_own", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_own"), F.col("copy")))  # nulls add nothing
     )
-    return drawn.sort("shuffle_key", F.col(id_col), "copy") if shuffle else drawn
+    return (drawn.sort("shuffle_key", F.col(id_col), "_own", "copy") if shuffle else drawn).drop("_own")
