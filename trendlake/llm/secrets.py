@@ -1,7 +1,8 @@
 """Secrets by dictionary-primed compression.
 
 Candidates are strings in a sensitive context: what fixed patterns name, and
-long tokens soon after a word that announces a credential. For each one the
+all long tokens in the lines of a word that announces a credential, in the
+lines after it, and in PEM private keys. For each one the
 marginal compressed size is measured: the bytes zstandard needs for it when
 primed with common identifiers and with the text around it. A candidate that
 its surroundings and the dictionary hardly help to compress is novel.
@@ -13,6 +14,7 @@ are incompressible, mix letters and digits and lie outside pattern spans.
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
 
@@ -32,16 +34,23 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "novel")
 AROUND = 256  # code points of surrounding text on either side
 MIN_NOVEL_SHARE = 0.6  # marginal bytes per byte of the candidate
+MIN_NOVEL_HEX_SHARE = 0.4  # the same per hex digit of a candidate of hex digits
+THOROUGH = 9  # compression level that finds copies at every place
+NEXT_LINES = 3  # lines after one with a cue that belong to its context
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_SENSITIVE = re.compile(
-    r"""(?:authorization|bearer|credential|private_?key|client_?secret|access_?key|auth|pwd|secret|token|passw)"""
-    r"""[^\n]{0,24}?[\s"'=:]([A-Za-z0-9+/_=-]{20,})""", re.I | re.A,
+_CUE = re.compile(
+    r"authorization|bearer|credential|(?:private|access|api)[_ -]?key|client[_ -]?secret|auth|pwd|secret|token|passw", re.I | re.A
 )
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----(.*?)-----END", re.S)
+_LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_MARKS = str.maketrans("", "", "+/_=-")
+_ONE_CASE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_PART = re.compile(r"[^=]{20,}=*(?![^=])|[^=]{20,}")  # between equals signs; those at the end are padding
 #: Common identifiers of code and configuration, for the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret credential authorization bearer "
@@ -52,19 +61,70 @@ IDENTIFIERS = (
 ).encode()
 
 
-def marginal_bytes(text: str, a: int, b: int) -> int:
+def marginal_bytes(text: str, a: int, b: int, level: int = 3) -> int:
     """Bytes that ``text[a:b]`` adds once the compressor knows the identifiers and the text around it."""
     around = text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]
     primed = zstandard.ZstdCompressionDict(
         IDENTIFIERS + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT
     )
-    engine = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+    engine = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
     own = text[a:b].encode("utf-8", "replace")
     return max(0, len(engine.compress(own)) - len(engine.compress(b"")))
 
 
-def _novel(text: str, a: int, b: int) -> bool:
-    return marginal_bytes(text, a, b) >= MIN_NOVEL_SHARE * (b - a)
+def _least_bytes(own: str) -> float:
+    """Marginal bytes from which a candidate is novel; a random hex digit takes half a byte and not more."""
+    core = own.translate(_MARKS)
+    if _ONE_CASE_HEX.fullmatch(core):
+        return MIN_NOVEL_HEX_SHARE * len(core)
+    return MIN_NOVEL_SHARE * len(own)
+
+
+def _long_tokens(text: str) -> list[tuple[int, int]]:
+    """Runs of at least 20 characters of keys, cut at equals signs where a part is that long, mixing letters and digits."""
+    out = []
+    for m in _LONG.finditer(text):
+        parts = [(m.start() + p.start(), m.start() + p.end()) for p in _PART.finditer(m[0])] or [m.span()]
+        out += [(a, b) for a, b in parts if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])]
+    return out
+
+
+def _sensitive_parts(text: str) -> list[tuple[int, int]]:
+    """Ordered, separate stretches of text in a sensitive context.
+
+    These are whole lines with a cue and the ``NEXT_LINES`` lines after them
+    that are not blank, lines that are one long token not counted (so wrapped
+    keys are followed to their end), and the bodies of PEM private keys.
+    """
+    if not _CUE.search(text):
+        return []
+    out, at, left = [], 0, 0
+    for line in text.split("\n"):
+        if _CUE.search(line):
+            left = NEXT_LINES + 1
+        if left:
+            out.append((at, at + len(line)))
+            own = line.strip()
+            left -= bool(own) and not _LONG.fullmatch(own)
+        at += len(line) + 1
+    return _merged(out + [m.span(1) for m in _PEM.finditer(text)])
+
+
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping stretches made one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _meets(parts: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the ordered, separate stretches overlaps ``a..b``."""
+    i = bisect.bisect_left(parts, (b,)) - 1
+    return i >= 0 and parts[i][1] > a
 
 
 def find_secrets(text: str) -> tuple[list[sp.Span], list[int]]:
@@ -82,14 +142,16 @@ def find_secrets(text: str) -> tuple[list[sp.Span], list[int]]:
         found.append(("hex", m.start(), m.end()))
         values.append((m.start(), m.end()))
     cost = [marginal_bytes(text, a, b) for a, b in values]
-    for m in _SENSITIVE.finditer(text):
-        a, b = m.span(1)
-        own = m[1]
-        if any(a < e and s < b for _, s, e in found) or not re.search("[0-9]", own) or not re.search("[A-Za-z]", own):
-            continue
-        if _novel(text, a, b):
-            found.append(("novel", a, b))
-            cost.append(marginal_bytes(text, a, b))
+    tokens = _long_tokens(text)
+    near, known = (_sensitive_parts(text), _merged([(a, b) for _, a, b in found])) if tokens else ([], [])
+    for a, b in tokens:
+        if _meets(near, a, b) and not _meets(known, a, b):
+            own_cost = marginal_bytes(text, a, b)
+            least = _least_bytes(text[a:b])
+            # level 3 looks up only some places of what primes it; what it finds novel is searched for everywhere
+            if own_cost >= least and marginal_bytes(text, a, b, THOROUGH) >= least:
+                found.append(("novel", a, b))
+                cost.append(own_cost)
     return found, cost
 
 
