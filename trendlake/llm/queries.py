@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendlake.llm import ann, jaccard, mixing, packing, pii, pu_quality, quality_rules, secrets, toxicity, warc
+from trendlake.llm import (
+    ann, jaccard, mixing, packing, pii, pu_quality, quality_rules, secrets, toxicity, warc, winnowing,
+)
 from trendlake.llm.tables import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,11 +63,15 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_pii, op4_secrets, op5_jaccard_join, op6_warc, op7_toxicity,
-        op8_nearest_neighbours, op9_mixing, op10_pu_quality,
+        op8_nearest_neighbours, op9_mixing, op10_pu_quality, op11_winnowing,
     )
 }
 
