@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake.llm import (
-    ann, jaccard, mixing, packing, pii, pu_quality, quality_rules, secrets, toxicity, warc, winnowing,
+    ann, jaccard, mixing, packing, phrases, pii, pu_quality, quality_rules, secrets, toxicity, warc, whitening, winnowing,
 )
 from trendlake.llm.tables import fold
 
@@ -67,11 +67,20 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_pii, op4_secrets, op5_jaccard_join, op6_warc, op7_toxicity,
         op8_nearest_neighbours, op9_mixing, op10_pu_quality, op11_winnowing,
+        op12_whitening, op13_collocations,
     )
 }
 
@@ -177,4 +186,33 @@ r AS (
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy FROM e
 """
 
-ORACLES = {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op9_mixing": _OP9}
+_OP13 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS ph
+  FROM w, range(1, 5) r(m) WHERE len(w) >= m
+), c AS MATERIALIZED (SELECT lang, ph, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, ph, a, unnest(range(1, len(ph))) AS k FROM c WHERE len(ph) > 1),
+s AS (
+  SELECT cut.lang, cut.ph, cut.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * cut.a) // (x.a::HUGEINT + y.a) AS score
+  FROM cut JOIN c x ON x.lang = cut.lang AND x.ph = cut.ph[1 : k] JOIN c y ON y.lang = cut.lang AND y.ph = cut.ph[k + 1 : len(cut.ph)]
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) AS o FROM s),
+f AS (
+  SELECT lang, unnest(list_transform(range(1, len(ph) - m + 2), lambda i: ph[i : i + m - 1])) AS ph, a
+  FROM c, range(2, 4) r(m) WHERE len(ph) > m
+), longer AS (SELECT lang, ph, max(a) AS longer FROM f GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.ph, ' ') AS phrase FROM b LEFT JOIN longer z ON z.lang = b.lang AND z.ph = b.ph
+  WHERE o = 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * b.a, false)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op6_warc": _OP6, "op9_mixing": _OP9, "op13_collocations": _OP13,
+}
