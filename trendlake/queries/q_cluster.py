@@ -237,3 +237,51 @@ def hierarchical_label_totals(spark, d):
        "SELECT z.year, a AS vec_id, min(b) AS cluster FROM reach JOIN z ON z.vec_id = a GROUP BY ALL")
 def hierarchical_by_year(spark, d):
     return H.single_linkage(space(spark, d), "vec_id", "score", 0.5, by=["year"], dims=DIMS).select("year", "vec_id", "cluster")
+
+
+# Prim's method row by row: every step moves the place nearest to the tree into it; its distance is a merge height.
+_TREE = f"""WITH RECURSIVE {SPACE_SQL},
+z AS (SELECT vec_id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM space),
+prim(step, id, x, y, near, d) AS (
+  SELECT 1, z.vec_id, z.x, z.y, f.vec_id, sqrt((z.x - f.x) * (z.x - f.x) + (z.y - f.y) * (z.y - f.y))
+  FROM z, (SELECT * FROM z ORDER BY vec_id LIMIT 1) f WHERE z.vec_id <> f.vec_id
+  UNION ALL
+  SELECT step + 1, id, x, y, CASE WHEN g < d THEN mid ELSE near END, least(d, g)
+  FROM (SELECT *, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS g FROM (
+    SELECT *, first_value(id) OVER w AS mid, first_value(x) OVER w AS mx, first_value(y) OVER w AS my FROM prim WINDOW w AS (ORDER BY d, id)
+  )) WHERE id <> mid
+), edge AS (SELECT arg_min(id, (d, id)) AS a, arg_min(near, (d, id)) AS b, min(d) AS height FROM prim GROUP BY step),
+h AS (SELECT height, row_number() OVER (ORDER BY height) AS step FROM edge)"""
+_CUT = """, link AS (SELECT a, b FROM edge, cut WHERE height <= h UNION ALL SELECT b, a FROM edge, cut WHERE height <= h),
+reach(a, b) AS (SELECT vec_id, vec_id FROM z UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a"""
+_JUMP = "jump AS (SELECT step - 1 AS before, next - height AS jump FROM (SELECT *, lead(height) OVER (ORDER BY step) AS next FROM h) WHERE next IS NOT NULL ORDER BY jump DESC, step LIMIT 1)"
+
+
+def _tree(spark, d):
+    return H.linkage_tree(space(spark, d), "vec_id", "score", dims=DIMS)
+
+
+@query("linkage_heights", _TREE + " SELECT step, round(height, 6) AS height FROM h")
+def linkage_heights(spark, d):
+    return rounded(_tree(spark, d).ordered_heights().drop("grp"), ["height"])
+
+
+@query("linkage_largest_jump", f"{_TREE}, {_JUMP} SELECT before, round(jump, 6) AS jump FROM jump")
+def linkage_largest_jump(spark, d):
+    return rounded(_tree(spark, d).largest_jump().drop("grp"), ["jump"])
+
+
+@query("hierarchical_cut_by_count", _TREE + ", cut AS (SELECT max(height) AS h FROM h WHERE step <= (SELECT count(*) FROM z) - 12)" + _CUT)
+def hierarchical_cut_by_count(spark, d):
+    return _tree(spark, d).cut_by_count(12).select("vec_id", "cluster")
+
+
+@query("hierarchical_cut_largest_jump", f"{_TREE}, {_JUMP}, cut AS (SELECT coalesce(max(height), 0) AS h FROM h, jump WHERE step <= before)" + _CUT)
+def hierarchical_cut_largest_jump(spark, d):
+    return _tree(spark, d).cut_at_largest_jump().select("vec_id", "cluster")
+
+
+@query("hierarchical_cut_mean_deviation", _TREE + ", cut AS (SELECT avg(height) + stddev_pop(height) AS h FROM h)" + _CUT)
+def hierarchical_cut_mean_deviation(spark, d):
+    return _tree(spark, d).cut_by_deviation().select("vec_id", "cluster")
