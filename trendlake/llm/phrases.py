@@ -328,5 +328,5 @@ def collocations(
         .select("ids", "lang", F.array_join("w.word", " ").alias("phrase"))
     )
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left_over.join(named, "ids").withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = left_over.join(named, "ids").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
