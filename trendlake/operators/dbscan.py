@@ -41,10 +41,8 @@ def standardized_plane(
 
 
 def _cell_id(cx: Column, cy: Column) -> Column:
-    """Both cell numbers in one long."""
-    limit = 1 << 30
-    ok = (F.abs(cx) < limit) & (F.abs(cy) < limit)
-    return F.when(ok, cx * (1 << 32) + cy).otherwise(F.raise_error(F.lit("eps is too small for the range of the data")).cast("long"))
+    """A cell of a group. Groups have cells of their own, so they never meet."""
+    return F.struct(F.col("grp"), cx.alias("cx"), cy.alias("cy"))
 
 
 def _neighbours(df: DataFrame) -> DataFrame:
@@ -65,7 +63,7 @@ def _near(eps: float) -> Column:
 def _around(probes: DataFrame, targets: DataFrame, salts: DataFrame, eps: float, carry: str) -> DataFrame:
     """Probe locations (of thin cells) with the target locations within eps of them."""
     spread = (
-        _neighbours(probes.select("x", "y", "cx", "cy")).join(salts, "cell")
+        _neighbours(probes.select("grp", "x", "y", "cx", "cy")).join(salts, "cell")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     )
     salted = targets.select("cell", "salt", F.col("x").alias("tx"), F.col("y").alias("ty"), carry)
@@ -75,7 +73,7 @@ def _around(probes: DataFrame, targets: DataFrame, salts: DataFrame, eps: float,
 def _boxes(cores: DataFrame, level: int, side: float) -> DataFrame:
     """Bounding boxes of the core locations in each of the 4^level x 4^level parts of a cell."""
     part = lambda c, cell: F.floor((F.col(c) / side - F.col(cell)) * float(4**level))
-    return cores.groupBy("cell", "cx", "cy", part("x", "cx").alias("bx"), part("y", "cy").alias("by")).agg(
+    return cores.groupBy("cell", "grp", "cx", "cy", part("x", "cx").alias("bx"), part("y", "cy").alias("by")).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
 
@@ -141,48 +139,67 @@ def _cell_links(cores: DataFrame, side: float, eps: float) -> DataFrame:
     return out
 
 
-def dbscan(
-    df: DataFrame, key: str, score: str | Sequence[str], eps: float, min_samples: int,
-    dims: int | None = None, standardize: bool = True,
-) -> DataFrame:
-    """``key, x, y, cluster``; noise is -1.
+def _cores(plane: DataFrame, key: str, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Core places ``grp, x, y, cell, salt, component, first_key``, the thin places, and the cells' salts.
 
-    A row counts itself. Clusters are numbered 0.. by the smallest key among
-    their core rows; a border row takes the smallest cluster it touches.
+    ``plane`` has ``grp, x, y`` and the key. Where every row is a core, no place is thin.
     """
-    # Written once: places are joined back by value, so rows must not be scaled anew.
-    plane = materialise(standardized_plane(df, [key], score, dims, standardize))
     # A hair under eps / sqrt(2), so that one cell never spans more than eps.
     side = eps / math.sqrt(2.0) * (1.0 - 1e-9)
-    places = plane.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+    places = plane.groupBy("grp", "x", "y").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
     places = places.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
     places = materialise(places.withColumn("cell", _cell_id(F.col("cx"), F.col("cy"))))
     cells = places.groupBy("cell").agg(
         (F.sum("n") >= min_samples).alias("crowded"), F.ceil(F.count("*") / F.lit(_SALT_ROWS)).cast("int").alias("salts")
     )
-    cells = materialise(cells)
-    salts = cells.select("cell", "salts")
-    places = materialise(
-        places.join(cells, "cell").withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.col("salts").cast("long")).cast("int"))
-    )
-
-    thin = places.filter(~F.col("crowded"))
-    counted = _around(thin, places, salts, eps, "n").groupBy("x", "y").agg((F.sum("n") >= min_samples).alias("core"))
-    thin = materialise(thin.join(counted, ["x", "y"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
-    cores = materialise(places.filter("crowded").withColumn("core", F.lit(True)).unionByName(thin.filter("core")))
+    if min_samples > 1:
+        cells = materialise(cells)
+        places = materialise(
+            places.join(cells, "cell").withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.col("salts").cast("long")).cast("int"))
+        )
+        thin = places.filter(~F.col("crowded"))
+        counted = _around(thin, places, cells.select("cell", "salts"), eps, "n").groupBy("grp", "x", "y").agg((F.sum("n") >= min_samples).alias("core"))
+        thin = materialise(thin.join(counted, ["grp", "x", "y"], "left").withColumn("core", F.coalesce("core", F.lit(False))))
+        cores = materialise(places.filter("crowded").withColumn("core", F.lit(True)).unionByName(thin.filter("core")))
+    else:
+        cores, thin = places.withColumn("salt", F.lit(0)), None
 
     nodes = cores.select(F.col("cell").alias("id")).distinct()
     parts = connected_components(nodes, _cell_links(cores, side, eps)).withColumnRenamed("id", "cell")
-    owned = materialise(cores.join(parts, "cell"))
+    owned = cores.join(parts, "cell").select("grp", "x", "y", "cell", "salt", "component", "first_key")
+    return materialise(owned), thin, cells.select("cell", "salts")
+
+
+def dbscan(
+    df: DataFrame, key: str, score: str | Sequence[str], eps: float, min_samples: int,
+    dims: int | None = None, standardize: bool = True,
+) -> DataFrame:
+    """``key, x, y, cluster``; noise is -1.
+
+    A row counts itself. Clusters are numbered 0.. by the smallest key among
+    their core rows; a border row takes the smallest cluster it touches.
+    """
+    # Written once: places are joined back by value, so rows must not be scaled anew.
+    plane = materialise(standardized_plane(df, [key], score, dims, standardize).withColumn("grp", F.lit(0).cast("long")))
+    owned, thin, salts = _cores(plane, key, eps, min_samples)
     firsts = owned.groupBy("component").agg(F.min("first_key").alias("k"))
     numbers = number_rows(firsts, "k", "cluster").select("component", F.col("cluster").cast("int").alias("cluster"))
-    owned = materialise(owned.join(numbers, "component").select("x", "y", "cell", "salt", "cluster"))
-
-    border = _around(thin.filter(~F.col("core")), owned, salts, eps, "cluster").groupBy("x", "y").agg(F.min("cluster").alias("cluster"))
-    labels = owned.select("x", "y", "cluster").union(border.select("x", "y", "cluster"))
+    owned = owned.join(numbers, "component").select("grp", "x", "y", "cell", "salt", "cluster")
+    labels = owned.select("x", "y", "cluster")
+    if thin is not None:
+        owned = materialise(owned)
+        border = _around(thin.filter(~F.col("core")), owned, salts, eps, "cluster").groupBy("x", "y").agg(F.min("cluster").alias("cluster"))
+        labels = owned.select("x", "y", "cluster").union(border.select("x", "y", "cluster"))
     return plane.join(labels, ["x", "y"], "left").select(key, "x", "y", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def linked_places(plane: DataFrame, key: str, reach: float) -> DataFrame:
+    """``grp, x, y, cluster``: places of a group joined by chains of steps no longer than ``reach``, named by the smallest key."""
+    owned, _, _ = _cores(plane, key, reach, 1)
+    first = materialise(owned.groupBy("component").agg(F.min("first_key").alias("cluster")))
+    return owned.join(first, "component").select("grp", "x", "y", "cluster")
+
+
 def dbscan_sweep(
     df: DataFrame, key: str, score: str | Sequence[str], eps_values: Iterable[float], min_samples_values: Iterable[int],
     dims: int | None = None, standardize: bool = True,

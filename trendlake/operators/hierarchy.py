@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlake.operators.components import connected_components
-from trendlake.operators.dbscan import standardized_plane
+from trendlake.operators.dbscan import linked_places, standardized_plane
 from trendlake.operators.joins import number_rows
 from trendlake.operators.quantiles import null_safe_join
 from trendlake.operators.spanning_tree import spanning_tree
@@ -102,6 +102,19 @@ class Tree:
         return self.at_height(materialise(cut))
 
 
+def _plane(df: DataFrame, key: str, score: str | Sequence[str], by: list[str], dims: int | None, standardize: bool) -> DataFrame:
+    """``by, key, x, y, grp``, written; groups are numbered, null is one of them."""
+    finite = [F.abs(F.col(c)) < float("inf") for c in ("x", "y")]  # false for null and NaN, too
+    plane = standardized_plane(df, [*by, key], score, dims, standardize).filter(finite[0] & finite[1])
+    plane = plane.withColumns({c: F.col(c) + 0.0 for c in ("x", "y")})
+    if not by:
+        return materialise(plane.withColumn("grp", F.lit(0).cast("long")))
+    plane = materialise(plane)
+    groups = plane.select(*by).distinct().withColumn("_order", F.to_json(F.struct(*by)))
+    numbered = materialise(number_rows(groups, "_order", "grp").select(*by, "grp"))
+    return materialise(null_safe_join(plane, numbered, by))
+
+
 def linkage_tree(
     df: DataFrame, key: str, score: str | Sequence[str], by: Sequence[str] = (), dims: int | None = None, standardize: bool = True
 ) -> Tree:
@@ -111,15 +124,7 @@ def linkage_tree(
     groups, and several times in one. Rows without finite coordinates are left out.
     """
     by = list(by)
-    finite = [F.abs(F.col(c)) < float("inf") for c in ("x", "y")]  # false for null and NaN, too
-    plane = standardized_plane(df, [*by, key], score, dims, standardize).filter(finite[0] & finite[1])
-    plane = materialise(plane.withColumns({c: F.col(c) + 0.0 for c in ("x", "y")}))
-    if by:
-        groups = plane.select(*by).distinct().withColumn("_order", F.to_json(F.struct(*by)))
-        numbered = materialise(number_rows(groups, "_order", "grp").select(*by, "grp"))
-        plane = materialise(null_safe_join(plane, numbered, by))
-    else:
-        plane = plane.withColumn("grp", F.lit(0).cast("long"))
+    plane = _plane(df, key, score, by, dims, standardize)
     spots = plane.groupBy("grp", "x", "y").agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("key"))
     places = materialise(number_rows(spots.withColumn("_o", F.struct("grp", "x", "y")), "_o", "place").drop("_o"))
     rows = materialise(plane.join(places.select("grp", "x", "y", "place"), ["grp", "x", "y"]))
@@ -132,5 +137,12 @@ def single_linkage(
     df: DataFrame, key: str, score: str | Sequence[str], height: float, by: Sequence[str] = (),
     dims: int | None = None, standardize: bool = True,
 ) -> DataFrame:
-    """``by, key, x, y, cluster`` of the tree cut at ``height``; a cluster is named by its smallest key."""
-    return linkage_tree(df, key, score, by, dims, standardize).at_height(height)
+    """``by, key, x, y, cluster`` of the trees cut at ``height`` (above 0); a cluster is named by its smallest key.
+
+    Rows are joined to their clusters by group and place, so a key may stand
+    in several groups. Rows without finite coordinates are left out.
+    """
+    by = list(by)
+    plane = _plane(df, key, score, by, dims, standardize)
+    labels = linked_places(plane, key, height)
+    return plane.join(labels, ["grp", "x", "y"]).select(*by, key, "x", "y", "cluster")

@@ -9,7 +9,7 @@ these alone, by bounds. That leaves a few candidate edges a location, of which
 rounds of Borůvka's method choose the tree: every part takes its shortest edge.
 
 Rounds are joins and aggregates over written tables. A join meets a box with
-its four parts at most, no group of rows is ever gathered.
+its 16 parts at most, no group of rows is ever gathered.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from trendlake.operators.joins import number_rows
 from trendlake.session import materialise
 
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+#: A box has 16 parts: two bits of each rank.
+_BITS = 4
 _BOX = ("x0", "x1", "y0", "y1", "rows", "id", "rx", "ry")
 
 
@@ -36,7 +38,7 @@ def _spread_bits(value: Column) -> Column:
 def _boxes(places: DataFrame, depth: int) -> DataFrame:
     """Every box of every level that holds a place: its bounds, rows and one place of it."""
     levels = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    path = F.expr(f"shiftright(code, 2 * ({depth} - level))")
+    path = F.expr(f"shiftright(code, {_BITS} * ({depth} - level))")
     return levels.groupBy("grp", "level", path.alias("path")).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
         F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "x", "y")).alias("one"),
@@ -44,7 +46,7 @@ def _boxes(places: DataFrame, depth: int) -> DataFrame:
 
 
 def _sided(boxes: DataFrame, side: str) -> DataFrame:
-    return boxes.select("grp", F.shiftright("path", 2).alias(f"{side}_up"), F.col("path").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in _BOX])
+    return boxes.select("grp", F.shiftright("path", _BITS).alias(f"{side}_up"), F.col("path").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in _BOX])
 
 
 def _square(x: Column, y: Column) -> Column:
@@ -78,9 +80,9 @@ def candidate_edges(places: DataFrame) -> DataFrame:
     by_x = number_rows(places.withColumn("_x", F.struct("x", "y", "id")), "_x", "i").drop("_x")
     ranked = materialise(number_rows(by_x.withColumn("_y", F.struct("y", "x", "id")), "_y", "j").drop("_y"))
     rows = ranked.count()
-    depth = max(1, (rows - 1).bit_length())
-    if depth > 31:
-        raise ValueError("more places than fit in 31 bits")
+    if rows > 1 << 30:
+        raise ValueError("more places than fit in 30 bits")
+    depth = max(1, -(-2 * (rows - 1).bit_length() // _BITS))
     coded = ranked.withColumn("code", F.shiftleft(_spread_bits(F.col("i")), 1).bitwiseOR(_spread_bits(F.col("j"))))
     boxes = materialise(_boxes(coded, depth))
     # A followed pair is known by the level and the boxes where it parted; ``own`` boxes still hold several places.
@@ -129,10 +131,7 @@ def lightest_tree(edges: DataFrame) -> DataFrame:
         root = (F.col("a") == F.col("oa")) & (F.col("b") == F.col("ob")) & (F.col("c") < F.col("o"))
         to = materialise(picks.join(other, "o").select("c", F.when(root, F.col("c")).otherwise(F.col("o")).alias("t")))
         while True:
-            step = to
-            for _ in range(2):
-                step = step.join(to.toDF("t", "t2"), "t").select("c", F.col("t2").alias("t"))
-            moved = materialise(step.join(to.withColumnRenamed("t", "before"), "c"))
+            moved = materialise(to.toDF("c", "before").join(to.toDF("before", "t"), "before"))
             to = moved.select("c", "t")
             if moved.filter("t <> before").isEmpty():
                 break

@@ -239,6 +239,23 @@ def hierarchical_by_year(spark, d):
     return H.single_linkage(space(spark, d), "vec_id", "score", 0.5, by=["year"], dims=DIMS).select("year", "vec_id", "cluster")
 
 
+# Tracks of one artist by two features: the same part stands under several artists.
+_BY_ARTIST = f"""WITH RECURSIVE {TRACK_SQL},
+z AS (SELECT artist, name, (q - avg(q) OVER ()) / stddev_samp(q) OVER () AS x, (p - avg(p) OVER ()) / stddev_samp(p) OVER () AS y FROM tracks),
+s AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY x, y, name) AS i FROM z),
+near AS (SELECT a.artist, a.i AS a, b.i AS b FROM s a JOIN s b ON a.artist = b.artist AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.3::DOUBLE * 0.3),
+reach(artist, a, b) AS (SELECT artist, i, i FROM s UNION SELECT r.artist, r.a, n.b FROM reach r JOIN near n ON n.artist = r.artist AND n.a = r.b),
+low AS (SELECT artist, a AS i, min(b) AS root FROM reach GROUP BY artist, a),
+named AS (SELECT artist, root, min(name) AS cluster FROM low JOIN s USING (artist, i) GROUP BY artist, root)
+SELECT artist, name, cluster, count(*) AS n FROM low JOIN s USING (artist, i) JOIN named USING (artist, root) GROUP BY ALL"""
+
+
+@query("hierarchical_by_artist", _BY_ARTIST)
+def hierarchical_by_artist(spark, d):
+    out = H.single_linkage(tracks(spark, d), "name", ["q", "p"], 0.3, by=["artist"], standardize=True)
+    return out.groupBy("artist", "name", "cluster").agg(F.count("*").alias("n"))
+
+
 # Prim's method row by row: every step moves the place nearest to the tree into it; its distance is a merge height.
 _TREE = f"""WITH RECURSIVE {SPACE_SQL},
 z AS (SELECT vec_id, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS y FROM space),
