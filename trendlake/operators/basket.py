@@ -10,8 +10,8 @@ from trendlake.functions.lists import item_label
 
 
 def baskets(df: DataFrame, key: str, item: str, name: str = "items") -> DataFrame:
-    """One de-duplicated item list per key; pairs are made distinct before they are gathered."""
-    return df.select(key, item).distinct().groupBy(key).agg(F.collect_list(item).alias(name))
+    """One de-duplicated item list per key, in one shuffle."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias(name))
 
 
 def mine(df: DataFrame, items: str, min_support: float = 0.005, min_confidence: float = 0.4) -> FPGrowthModel:

@@ -94,24 +94,22 @@ def _fits(rows: DataFrame, scored: DataFrame, vector: str, ks: Iterable[int], se
 
 def sweep(
     df: DataFrame, vector: str, ks: Iterable[int] = range(2, 8), seed: int = 1, kind: str = "kmeans",
-    sample_keys: Sequence[str] | None = None, partitions: int | None = None,
+    sample_keys: Sequence[str] | None = None, partitions: int | None = None, sample_fraction: float = 0.1,
 ) -> Sweep:
     """Fit every k and keep the one with the best silhouette, the smaller k on ties.
 
     ``partitions`` spreads the vectors evenly once before the many passes over
     them, for inputs that come in few or uneven splits.
 
-    ``sample_keys`` turns on the sampled score: a tenth of the rows, between
-    1,000 and 10,000, chosen by key hash, is scored. Fitting always sees all rows.
+    ``sample_keys`` turns on the sampled score: the rows of a share of the
+    keys, chosen by their hash, are scored. Fitting always sees all rows.
     """
     rows = with_vector(df, vector).select(vector, *[k for k in sample_keys or () if k != vector])
     rows = (rows.repartition(partitions) if partitions else rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scored = rows
         if sample_keys:
-            n = rows.count()
-            share = min(1.0, max(min(0.1 * n, 10_000), 1_000) / max(n, 1))
-            scored = hash_sample(rows, sample_keys, share, 42)
+            scored = hash_sample(rows, sample_keys, sample_fraction, 42)
         out, best = Sweep(vector), -2.0
         for k, s, score, model in _fits(rows.select(vector), scored.select(vector), vector, list(ks), [seed], kind):
             out.scores.append((k, s, score))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trendlake.functions.terms import bin_labels, days_since_epoch, fourier_terms, ramp_from, step_from
 from trendlake.operators.series import accuracy, attach_regressors, event_windows
 from trendlake.operators.trends import innovation_levels
-from trendlake.session import materialise
+from trendlake.session import materialise, side_by_side
 from trendlake.sources.files import hash_split
 
 
@@ -160,11 +160,10 @@ def _moments(rows: DataFrame, columns: Sequence[str], centre: np.ndarray, scale:
         yield pd.DataFrame({"at": np.arange(k * k), "v": total.ravel()})
 
     picked = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    sums = picked.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k * k)
-    for r in sums:
-        out[r["at"]] = r["v"]
-    return out.reshape(k, k)
+    sums = picked.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    # one row of k * k numbers, whose count the design bounds
+    all_sums = sums.agg(F.array_sort(F.collect_list(F.struct("at", "v")))["v"].alias("v")).first()["v"]
+    return np.array(all_sums if all_sums else np.zeros(k * k)).reshape(k, k)
 
 
 def _dependent(c: np.ndarray, least: float = 1e-9) -> list[int]:
@@ -247,7 +246,9 @@ def forecast_with_regressors(
 def fit_levels(levels: DataFrame, edges: Sequence[float], design: Design, calendar: DataFrame | None = None) -> dict[str, Fitted]:
     """One model per distance bin of a yearly level table."""
     levels = materialise(levels)
-    return {label: fit(level_series(levels, label), design, calendar) for _, _, label in bin_labels(edges)}
+    labels = [label for _, _, label in bin_labels(edges)]
+    models = side_by_side(levels.sparkSession, lambda label: fit(level_series(levels, label), design, calendar), labels)
+    return dict(zip(labels, models))
 
 
 def level_series(levels: DataFrame, label: str) -> DataFrame:

@@ -34,9 +34,8 @@ def relabel(df: DataFrame, mapping: DataFrame, column: str, new: str = "new_labe
 
 
 def dense_labels(df: DataFrame, column: str = "prediction", new: str = "new_label") -> DataFrame:
-    """Distinct labels numbered 0..k-1 in order. One row per cluster, so one ordered window is enough."""
-    labels = df.select(column).distinct()
-    return labels.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias(new))
+    """Distinct labels numbered 0..k-1 in order, however many there are."""
+    return number_rows(df.select(column).distinct(), column, new).withColumn(new, F.col(new).cast("int"))
 
 
 def number_rows(df: DataFrame, order: str, name: str = "number") -> DataFrame:

@@ -76,13 +76,13 @@ def exclude_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 def chart_extract(
     df: DataFrame, date: str, fraction: float | None = None, seed: int | None = None,
-    artist: str | None = None, artist_col: str = "artist",
+    artist: str | None = None, artist_col: str = "artist", keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One artist's rows, or a random share of all rows, with the year added."""
+    """One artist's rows, or a share of all rows chosen by the hash of their ``keys`` (all columns, if none is named), with the year added."""
     if artist is not None:
         df = df.filter(F.col(artist_col) == artist)
     elif fraction is not None:
-        df = df.sample(False, fraction, seed)
+        df = hash_sample(df, keys or df.columns, fraction, seed or 0)
     return df.withColumn("year", year_of(date))
 
 
