@@ -52,14 +52,24 @@ def none(spark):
 # packing
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tab'sZ9.,é"), st.characters(exclude_categories=["Cs"])), max_size=60))
-def test_word_encoder_equals_the_tokenizer(text):
+@given(st.lists(st.lists(st.one_of(
+    st.sampled_from([" ", "  ", "\n", "\t", "a", "b'", "s", "Z9", ".,", "é", "word", "<|endoftext|>", "|>"]), st.characters(exclude_categories=["Cs"])
+), max_size=40).map("".join), min_size=1, max_size=4))
+def test_word_encoder_equals_the_tokenizer(texts):
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
     code = packing.encoder(TOKENIZER)
-    want = whole.encode(text, add_special_tokens=False).ids
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):  # the second time from memory
-        assert np.frombuffer(code.encode(text), "<u4").tolist() == want
+        assert [np.frombuffer(b, "<u4").tolist() for b in code.encode_all(texts)] == want
+
+
+def test_word_encoder_drops_the_older_words(monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT", 5)
+    code, whole = packing.WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for seed in range(4):
+        text = prose(seed, 40)
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(code.new) <= 5 and len(code.old) <= 5
 
 
 def test_packing_places_every_piece_once_without_gaps(spark, odd):

@@ -20,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,72 +34,88 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces that one (length, hash group) holds on average in the fullest length.
 GROUP_ROWS = 200_000
-_KEPT = 300_000  # remembered words of a task's process
-
-_SPACED = regex.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_KEPT = 400_000  # remembered words in each of two generations of a task's process
+_BATCH_BYTES = 1 << 21
 
 
 class WordEncoder:
-    """Ids of a byte-level tokenizer, as little-endian 32-bit bytes, remembered by word.
+    """Ids of a byte-level tokenizer, remembered by word.
 
     The tokenizer never joins across a single space between two visible
     characters, so the stretches between such spaces can be encoded one by
-    one. Within a stretch of plain Latin text the tokenizer's own splitting
-    is applied and its model run on each part; other stretches go through
-    the whole tokenizer.
+    one. The distinct stretches of a batch are found first; those not seen
+    before go through the tokenizer in one call, and the ids of all texts are
+    then gathered. A text that holds one of the tokenizer's added tokens is
+    encoded as a whole. Of two generations of remembered words the older is
+    dropped when the newer is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = (b for b in range(256) if b not in set(visible))
-        self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = "".join([self.letters[b] for b in part.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
-            if len(self.parts) >= _KEPT:
-                self.parts.clear()
-            self.parts[part] = ids
-        return ids
-
-    def _stretch(self, stretch: str) -> bytes:
-        if max(stretch) < "\u0250":
-            return b"".join([self._part(p) for p in _PARTS.findall(stretch)])
-        return self._whole(stretch)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _known(self, stretches: list[str]) -> list[bytes]:
+        out = []
+        for s in stretches:
+            ids = self.new.get(s)
+            if ids is None:
+                ids = self.old.get(s)
+            out.append(ids)
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(missing, self.tokenizer.encode_batch_fast([stretches[i] for i in missing], add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+            if len(stretches[i]) <= 64:
+                if len(self.new) >= _KEPT:
+                    self.old, self.new = self.new, {}
+                self.new[stretches[i]] = out[i]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian 32-bit bytes."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        out = self._spaced(["" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts)
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        found = lists.flatten().dictionary_encode()
+        words, codes = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        # where a word may not be parted from the one before or after it
+        before = np.array([not w or _bare(w[0]) for w in words], dtype=bool)[codes]
+        after = np.array([not w or _bare(w[-1]) for w in words], dtype=bool)[codes]
+        first = np.zeros(len(codes), dtype=bool)
+        first[ends[:-1]] = first[:1] = True
+        opens = np.flatnonzero(first | ~before & ~np.concatenate([[True], after[:-1]]))
+        size = np.diff(np.append(opens, len(codes)))
+        # a single word inside a text is known by its code, every other stretch is written out
+        items = codes[opens].astype(np.int64)
+        other = np.flatnonzero((size > 1) | first[opens])
+        stretches = [
+            ("" if first[a] else " ") + " ".join([words[c] for c in codes[a : a + n]]) for a, n in zip(opens[other].tolist(), size[other].tolist())
+        ]
+        inside = np.ones(len(opens), dtype=bool)
+        inside[other] = False
+        used, place = np.unique(items[inside], return_inverse=True)
+        names, at = np.unique(np.array(stretches, dtype=object), return_inverse=True) if stretches else (np.array([], dtype=object), np.zeros(0, dtype=np.int64))
+        items[inside], items[other] = place, len(used) + at
+        ids = self._known([*(" " + words[c] for c in used.tolist()), *names.tolist()])
+        joined, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        start = np.cumsum(sizes) - sizes
+        each = sizes[items]
+        upto = np.cumsum(each)
+        flat = joined[np.repeat(start[items] - (upto - each), each) + np.arange(int(each.sum()))].tobytes() if len(items) else b""
+        edges = np.concatenate([[0], upto])[np.searchsorted(opens, np.concatenate([[0], ends]))] * 4
+        return [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = text.split(" ")
-        out = [self.first.get(pieces[0]), *map(self.later.get, pieces[1:])]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        if any(not p or _bare(p[0]) or _bare(p[-1]) for p in map(pieces.__getitem__, missing)):
-            pieces = _SPACED.split(text)
-            out = [None] * len(pieces)
-            missing = range(len(pieces))
-        for i in missing:
-            p = pieces[i]
-            out[i] = self._stretch(f" {p}" if i else p)
-            if len(p) <= 64 and not (_bare(p[0]) or _bare(p[-1])):
-                known = self.later if i else self.first
-                if len(known) >= _KEPT:
-                    known.clear()
-                known[p] = out[i]
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 def _bare(c: str) -> bool:
@@ -116,6 +133,18 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of texts of bounded size, one text at least."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > a and held + len(t) > _BATCH_BYTES:
+            yield a, i
+            a, held = i, 0
+        held += len(t)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids) of every document's pieces.
 
@@ -129,8 +158,10 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
         end = np.array([END_ID], dtype="<u4").tobytes()
         for frame in frames:
             rows = []
-            for key, t in zip(frame["id"], frame["text"]):
-                data = code.encode(t) + end
+            keys, texts = frame["id"].tolist(), frame["text"].tolist()
+            encoded = (e for a, b in _parts(texts) for e in code.encode_all(texts[a:b]))
+            for key, data in zip(keys, encoded):
+                data += end
                 n = len(data) // 4
                 start, piece = 0, 0
                 while start < n:
@@ -202,8 +233,10 @@ def best_fit(pieces: DataFrame, length: int = LENGTH, key: str = "doc_id") -> Da
         place = rank - run[:, 1]
         return pd.DataFrame({"sequence_id": run[:, 4] + place // run[:, 3], "offset": run[:, 5] + place % run[:, 3] * size})
 
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    within = Window.partitionBy("length", "_g").orderBy(key, "piece", "ids_crc32")
+    # Ranks follow a hash with the row's place in the table, so that copies of one document are spread.
+    dealt = pieces.withColumn("_h", F.xxhash64(key, "piece", "ids_crc32", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_g", F.pmod("_h", F.lit(groups)).cast("int"))
+    within = Window.partitionBy("length", "_g").orderBy("_h", key, "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     shifts = dealt.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n")).select(
         "length", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
