@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.session import materialise
+from trendlake.session import discard, materialise
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,10 +15,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     round offers the smallest label among a node's neighbours to the node and
     to the node its label points at, then follows the label's own label, so the
     number of rounds grows with the logarithm of the longest path. Every round
-    is written out, which keeps plans short and survives lost executors.
+    is written out, which keeps plans short and survives lost executors; the
+    round before is then removed.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")))
     labels = nodes.select("id", F.col("id").alias("component"))
+    last = None
     while True:
         own = labels.select(F.col("id").alias("a"), F.col("component").alias("own"))
         other = labels.select(F.col("id").alias("b"), F.col("component").alias("other"))
@@ -35,6 +37,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = materialise(
             stepped.join(jump, "next").select("id", F.col("component").alias("before"), F.least("next", "jump").alias("component"))
         )
-        labels = moved.select("id", "component")
+        if last is not None:
+            discard(last)
+        last, labels = moved, moved.select("id", "component")
         if moved.filter(F.col("before") != F.col("component")).isEmpty():
+            discard(both)
             return labels
