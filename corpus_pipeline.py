@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake.llm import jaccard, mixing, packing, pii, quality_rules
@@ -23,17 +23,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with 0.8 of their five-word shingles in common.
+    """One row of each group of texts with 0.8 of their five-word shingles in common.
 
-    The document whose id names the group stays; of rows that repeat it, the
-    least text. Rows without an id stay.
+    Rows are told apart by their place in the files, so rows without an id or
+    with the id of another text are judged like any other. The first row of a
+    group stays; rows without a word are no one's copy and stay.
     """
-    groups = jaccard.near_duplicates(docs, size=5, percent=80).select("doc_id", "component_id").distinct()
-    gone = groups.filter("component_id < doc_id").select("doc_id")
-    once = Window.partitionBy("doc_id").orderBy("text", *[c for c in COLUMNS if c not in ("doc_id", "text")])
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    named = left.filter("doc_id is not null").withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
-    return named.unionByName(left.filter("doc_id is null"))
+    rows = jaccard.numbered(docs.select(*COLUMNS))
+    linked = jaccard.linked_rows(rows.select("_row", F.col("doc_id").cast("long").alias("_key"), "text"), size=5, percent=80)
+    gone = linked.filter("component < _row").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
