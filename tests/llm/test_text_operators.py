@@ -259,6 +259,15 @@ def test_jaccard_of_odd_and_empty_tables(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_jaccard_pools_the_links_of_a_repeated_id(spark):
+    a, b, c, d = (prose(80 + i, 40) for i in range(4))
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c), (11, ""), (12, None), (12, c), (None, d), (None, d), (14, d), (None, prose(99, 9)), (20, b + " x")]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["component_id"]) for r in out), key=repr)
+    want = [(3, 3), (7, 3), (7, 3), (9, 3), (11, 11), (11, 11), (12, 11), (12, 11), (None, 14), (None, 14), (14, 14), (None, None), (20, 3)]
+    assert got == sorted(want, key=repr)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB \t\n\x0b\x1c\x85é "), max_size=12)), max_size=6), st.integers(0, 3))
 def test_words_of_slices(texts, skip):
@@ -400,7 +409,8 @@ def test_poisson_inverts_the_distribution(spark):
 
 def test_mixing_of_odd_and_empty_tables(odd, none):
     out = mixing.mix_sources(odd)
-    assert set(odd.columns) < set(out.columns) and out.count() >= 0
+    assert set(odd.columns) < set(out.columns)
+    assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd.collect()}
     assert mixing.mix_sources(none).count() == 0
 
 
@@ -413,7 +423,16 @@ def test_pipeline_stages_keep_their_contracts(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "").cache()
             assert docs.columns == list(corpus_pipeline.COLUMNS), name
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 0
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert pieces.filter("piece = 0").count() == docs.count()
+
+
+def test_pipeline_keeps_one_row_of_every_text_whatever_the_ids(spark):
+    p, q, r = (prose(120 + i, 60) for i in range(3))
+    rows = [(3, p), (7, p), (7, q), (9, q), (None, p), (None, p), (None, r), (None, r + " end"), (5, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = [r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [p, q, r, "", None, None]))
 
 
 def test_pipeline_drops_copies_and_masks(spark):

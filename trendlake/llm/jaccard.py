@@ -18,6 +18,7 @@ verified on whole sets, so no link is lost and no group is paired out.
 
 from __future__ import annotations
 
+import re
 import sys
 from hashlib import blake2b
 
@@ -50,8 +51,8 @@ def _head_length(n: int, percent: int) -> int:
     return min(n, need + max(8, need // 4))
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, size: int, percent: int, whole: bool) -> DataFrame:
-    """id, n, digest and tokens: the whole sorted set, or its head of smallest hashes."""
+def _sets(docs: DataFrame, id_col: str, text: str, size: int, percent: int, whole: bool, carry: str | None = None) -> DataFrame:
+    """id, n, digest and tokens: the whole sorted set, or its head of smallest hashes; and a ``carry`` column."""
 
     def run(batches):
         for batch in batches:
@@ -66,12 +67,13 @@ def _sets(docs: DataFrame, id_col: str, text: str, size: int, percent: int, whol
                 flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["id", "n", "digest", "tokens"],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), *part.columns[2:]],
+                    names=["id", "n", "digest", "tokens", *part.schema.names[2:]],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "id long, n long, digest binary, tokens array<bigint>"
+    more = [F.col(carry).cast("long").alias(carry)] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *more).mapInArrow(
+        run, "id long, n long, digest binary, tokens array<bigint>" + (f", {carry} long" if carry else "")
     )
 
 
@@ -207,7 +209,7 @@ def _differences(compared: DataFrame, pivots: DataFrame) -> DataFrame:
     ).dropDuplicates(["rep"])
 
 
-def _within_pivots(members: DataFrame, percent: int) -> DataFrame:
+def _within_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Possible pairs ``a, b`` of different components under one leader, found in what tells them from the leader.
 
     Two sets differ by what their differences from the leader do not share.
@@ -226,12 +228,13 @@ def _within_pivots(members: DataFrame, percent: int) -> DataFrame:
     y = placed.select("pivot", "token", *[F.col(c).alias(f"{c}2") for c in keep])
     apart = F.expr(f"({100 - percent} * (n1 + n2)) div {100 + percent}")
     room = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
-    return (
+    pairs = (
         x.join(y, ["pivot", "token"])
         .filter((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")))
         .filter((F.least("n1", "n2") * 100 >= percent * F.greatest("n1", "n2")) & (2 * room >= F.col("size1") + F.col("size2") - apart))
         .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
     )
+    return pairs, placed
 
 
 def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, size: int, percent: int, frequent: int) -> DataFrame:
@@ -286,13 +289,52 @@ def near_duplicates(
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    sets = written(_sets(docs, id_col, text, size, percent, whole=False))
+    rows = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text).cast("string").alias("text"))
+    labels = written(linked_rows(numbered(rows), size, percent, frequent))
+    named = _pooled(labels)
+    return labels.join(named, "component", "left").select(F.col("_key").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row that is the same at every reading.
+
+    Rows that come straight from files are numbered by their place there.
+    Other plans, which may deal their rows anew at each use, are written first.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    steps = set(re.findall(r"^[\s:+|-]*([A-Z]\w+)", plan, re.MULTILINE))
+    by_place = docs.withColumn("_row", F.monotonically_increasing_id())
+    return by_place if steps <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else written(by_place)
+
+
+def _pooled(labels: DataFrame) -> DataFrame:
+    """component, component_id: the smallest key of a component, components that share a key being one."""
+    keyed = labels.filter(F.col("_key").isNotNull()).groupBy("component", "_key").agg(F.count(F.lit(1)).alias("n"))
+    ends = keyed.groupBy("_key").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a < z")
+    shared = written(keyed.join(ends, "_key").filter(F.col("component") > F.col("a")).select("a", F.col("component").alias("b")).distinct())
+    low = keyed.groupBy("component").agg(F.min("_key").alias("component_id"))
+    if shared.isEmpty():
+        return low
+    joined = _components(shared).toDF("component", "whole")
+    whole = low.join(joined, "component", "left").withColumn("whole", F.coalesce("whole", "component"))
+    least = whole.groupBy("whole").agg(F.min("component_id").alias("component_id"))
+    return whole.select("component", "whole").join(least, "whole").select("component", "component_id")
+
+
+def linked_rows(docs: DataFrame, size: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """_row, _key, n and component, the smallest row reachable by links; ``docs`` has ``_row, _key, text``.
+
+    Row numbers are unique, keys need not be.
+    """
+    id_col, text = "_row", "text"
+    with_heads = written(_sets(docs, id_col, text, size, percent, whole=False, carry="_key"))
     classes = written(
-        sets.filter("n > 0").groupBy("digest")
+        with_heads.filter("n > 0").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
     )
-    heads = classes.filter("rep is not null and n > 1")
+    sets = written(with_heads.select("id", "_key", "n", "digest"))
+    discard(with_heads)
+    heads = classes.filter("n > 1")
     index = jaccard_index(docs, heads, id_col, text, size, percent, frequent)
     buckets = index.groupBy("sig").agg(
         F.count(F.lit(1)).alias("members"), F.max_by("rep", F.struct("room", -F.col("rep"))).alias("leader"),
@@ -334,20 +376,20 @@ def near_duplicates(
         .filter(_possible(percent, "n1", "room1", "n2", "room2"))
         .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
     )
-    rest = _screened(across.union(_within_pivots(pivots, percent)).distinct(), heads, percent).filter("possible")
-    rest = written(rest)
-    discard(open_rows, pivots)
+    within, placed = _within_pivots(pivots, percent)
+    rest = written(_screened(across.union(within).distinct(), heads, percent).filter("possible"))
+    discard(open_rows, pivots, placed)
     rest_sets = whole(rest)
     second = _compared(rest, rest_sets, percent).filter("linked").select("a", "b").distinct()
     links = written(first.unionByName(second))
     discard(rest, rest_sets, first)
     final = _components(links)
-    named = classes.select("digest", "rep").join(final, "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component")
+    named = written(
+        classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     )
-    return sets.select("id", "n", "digest").join(named, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
+    discard(classes, links)
+    return sets.join(named, "digest", "left").select(
+        F.col("id").alias("_row"), "_key", "n", F.coalesce("component", "id").alias("component")
     )
 
 
