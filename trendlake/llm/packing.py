@@ -34,8 +34,11 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces that one (length, hash group) holds on average in the fullest length.
 GROUP_ROWS = 200_000
-_KEPT = 400_000  # remembered words in each of two generations of a task's process
-_BATCH_BYTES = 1 << 21
+_KEPT = 500_000  # remembered words in each of two generations of a task's process
+_BATCH_BYTES = 1 << 23
+_JOINED = 64
+#: White space in any reading.
+_BARE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class WordEncoder:
@@ -59,19 +62,36 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
 
     def _known(self, stretches: list[str]) -> list[bytes]:
-        out = []
-        for s in stretches:
-            ids = self.new.get(s)
-            if ids is None:
-                ids = self.old.get(s)
-            out.append(ids)
+        new, old = self.new, self.old
+        out = [new.get(s) or old.get(s) for s in stretches]
         missing = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(missing, self.tokenizer.encode_batch_fast([stretches[i] for i in missing], add_special_tokens=False)):
-            out[i] = np.array(e.ids, dtype="<u4").tobytes()
-            if len(stretches[i]) <= 64:
-                if len(self.new) >= _KEPT:
-                    self.old, self.new = self.new, {}
-                self.new[stretches[i]] = out[i]
+        if missing:
+            for i, ids in zip(missing, self._encoded([stretches[i] for i in missing])):
+                out[i] = ids
+                if len(stretches[i]) <= 64:
+                    if len(self.new) >= _KEPT:
+                        self.old, self.new = self.new, {}
+                    self.new[stretches[i]] = ids
+        return out
+
+    def _encoded(self, stretches: list[str]) -> list[bytes]:
+        """Ids of unseen stretches. Those between good boundaries go through the tokenizer many at a time."""
+        plain = [i for i, s in enumerate(stretches) if len(s) > 1 and s[0] == " " and not _bare(s[1]) and not _bare(s[-1])]
+        rest = sorted(set(range(len(stretches))) - set(plain))
+        runs = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)] + [[i] for i in rest]
+        texts = ["".join([stretches[i] for i in run]) for run in runs]
+        out = [b""] * len(stretches)
+        for run, e in zip(runs, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            if len(run) == 1:
+                out[run[0]] = ids.tobytes()
+                continue
+            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            cuts = np.searchsorted(starts, np.cumsum([len(stretches[i]) for i in run])) * 4
+            data, a = ids.tobytes(), 0
+            for i, b in zip(run, cuts.tolist()):
+                out[i] = data[a:b]
+                a = b
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -86,10 +106,13 @@ class WordEncoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         found = lists.flatten().dictionary_encode()
         words, codes = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+
+        def marked(pattern: str) -> np.ndarray:
+            return pc.match_substring_regex(found.dictionary, pattern).to_numpy(zero_copy_only=False)[codes]
+
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         # where a word may not be parted from the one before or after it
-        before = np.array([not w or _bare(w[0]) for w in words], dtype=bool)[codes]
-        after = np.array([not w or _bare(w[-1]) for w in words], dtype=bool)[codes]
+        before, after = marked(f"^(?:$|{_BARE})"), marked(f"(?:^|{_BARE})$")
         first = np.zeros(len(codes), dtype=bool)
         first[ends[:-1]] = first[:1] = True
         opens = np.flatnonzero(first | ~before & ~np.concatenate([[True], after[:-1]]))
@@ -102,9 +125,11 @@ class WordEncoder:
         ]
         inside = np.ones(len(opens), dtype=bool)
         inside[other] = False
-        used, place = np.unique(items[inside], return_inverse=True)
+        used = np.flatnonzero(np.bincount(items[inside], minlength=len(words)))
+        place = np.zeros(len(words), dtype=np.int64)
+        place[used] = np.arange(len(used))
         names, at = np.unique(np.array(stretches, dtype=object), return_inverse=True) if stretches else (np.array([], dtype=object), np.zeros(0, dtype=np.int64))
-        items[inside], items[other] = place, len(used) + at
+        items[inside], items[other] = place[items[inside]], len(used) + at
         ids = self._known([*(" " + words[c] for c in used.tolist()), *names.tolist()])
         joined, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
         start = np.cumsum(sizes) - sizes
@@ -119,7 +144,6 @@ class WordEncoder:
 
 
 def _bare(c: str) -> bool:
-    """White space in any reading."""
     return c.isspace() or c == "\u180e"
 
 
