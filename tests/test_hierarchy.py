@@ -45,11 +45,16 @@ def shapes():
     yield "same", np.zeros((9, 2))
 
 
-@pytest.mark.parametrize("name,x", list(shapes()), ids=[n for n, _ in shapes()])
-def test_heights_are_those_of_single_linkage(spark, name, x):
-    df = spark.createDataFrame([("g", i, *map(float, p)) for i, p in enumerate(x)], SCHEMA)
-    tree = hierarchy.linkage_tree(df, "id", ["a", "b"], standardize=False)
-    assert np.sort([r["height"] for r in tree.heights().collect()]) == pytest.approx(prim(x), rel=1e-9, abs=1e-12)
+def test_heights_are_those_of_single_linkage(spark):
+    """All shapes side by side: every group has the tree it has alone."""
+    rows = [(name, i, *map(float, p)) for name, x in shapes() for i, p in enumerate(x)]
+    tree = hierarchy.linkage_tree(spark.createDataFrame(rows, SCHEMA), "id", ["a", "b"], by=["g"], standardize=False)
+    names = {r["grp"]: r["g"] for r in tree.rows.select("grp", "g").distinct().collect()}
+    got = {}
+    for r in tree.heights().collect():
+        got.setdefault(names[r["grp"]], []).append(r["height"])
+    for name, x in shapes():
+        assert np.sort(got.get(name, [])) == pytest.approx(prim(x), rel=1e-9, abs=1e-12), name
 
 
 def test_the_three_cuts(spark):
@@ -85,18 +90,6 @@ def test_keys_that_stand_in_several_groups(spark):
     assert {(r["g"], r["cluster"]) for r in cut} == {("a", 1), ("b", 1), (None, 1)}
 
 
-def test_groups_have_trees_of_their_own(spark):
-    rng = np.random.default_rng(8)
-    rows = [(f"g{i % 3}" if i % 4 else "hot", i % 50, *map(float, rng.normal(size=2))) for i in range(240)]
-    tree = hierarchy.linkage_tree(spark.createDataFrame(rows, SCHEMA), "id", ["a", "b"], by=["g"], standardize=False)
-    got = {}
-    groups = {r["grp"]: r["g"] for r in tree.rows.select("grp", "g").distinct().collect()}
-    for r in tree.heights().collect():
-        got.setdefault(groups[r["grp"]], []).append(r["height"])
-    for g in {r[0] for r in rows}:
-        assert np.sort(got[g]) == pytest.approx(prim(np.array([r[2:] for r in rows if r[0] == g])))
-
-
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     tree = hierarchy.linkage_tree(df, "id", ["a", "b"], standardize=False)

@@ -2,10 +2,12 @@
 
 Design columns are expressions over ``ds``. Tasks add up the moments of the
 standardised columns, and the normal equations over the terms, whose number
-the design bounds, are solved once. Every part may have its own penalty;
-intervals come from the residual variance and the inverse of the penalised
-equations. The multiplicative form fits log(1 + y); back-transformed values
-estimate the median rather than the mean.
+the design bounds, are solved once. Every part may have its own penalty, on
+squares or on absolute values: the latter is met by coordinate descent on the
+same moments and leaves few changepoints. Intervals come from the residual
+variance and the inverse of the penalised equations, or from draws of future
+slope changes, which widen with the horizon. The multiplicative form fits
+log(1 + y); back-transformed values estimate the median rather than the mean.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.functions.terms import bin_labels, days_since_epoch, fourier_terms, ramp_from, step_from
@@ -44,6 +46,15 @@ class Design:
     #: Part or term name and its penalty. Days of neighbouring holidays may coincide, so they have a slight one.
     penalties: tuple[tuple[str, float], ...] = (("holidays", 1e-6),)
 
+    #: Part or term name and the weight of its absolute coefficient, in deviations of the term, next to half the mean
+    #: squared error. ``changepoints`` names all hinges.
+    sparse: tuple[tuple[str, float], ...] = ()
+
+    def sparsity(self, term: str, part: str) -> float:
+        own = dict(self.sparse)
+        hinges = own.get("changepoints") if term.startswith("hinge_") else None
+        return own.get(term, own.get(part, 0.0) if hinges is None else hinges)
+
     def penalty(self, term: str, part: str) -> float:
         """The weight of a term's squared coefficient, in deviations of the term, next to the mean squared error."""
         own = dict(self.penalties)
@@ -81,6 +92,49 @@ class Fitted:
             back(line + F.lit(reach)).alias("yhat_upper"),
         )
 
+    def slope_changes(self) -> tuple[float, float]:
+        """How many changes of slope a day of history has, and their mean size (per scaled time)."""
+        sizes = [abs(c) for n, c in zip(self.columns, self.coefficients) if n.startswith("hinge_")]
+        days = (self.span[1] - self.span[0]) or 1.0
+        return self.design.changepoints / days, sum(sizes) / max(self.design.changepoints, 1)
+
+    def draws(self, df: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
+        """``ds, draw, error``: what the days of ``df`` may differ from the fitted line by, in every draw.
+
+        A day after training changes the slope with the frequency and the mean
+        size that history shows (Laplace), and its change lasts; every day has
+        the residual's noise. All chances are hashes of seed, draw and day, so
+        they repeat. A draw is one series, as long as the calendar.
+        """
+        rate, size = self.slope_changes()
+        days = df.select(F.col("ds").cast("date").alias("ds")).filter("ds is not null").distinct()
+        rows = days.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+        def chance(name: str) -> Column:
+            text = F.concat_ws("|", F.lit(seed), "draw", F.date_format("ds", "yyyy-MM-dd"), F.lit(name))
+            return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+        t, side = _scaled_time(self.span), chance("size") - 0.5
+        laplace = -F.lit(size) * F.signum(side) * F.ln(F.greatest(1.0 - 2.0 * F.abs(side), F.lit(1e-16)))
+        changes = (days_since_epoch("ds") > F.lit(self.span[1])) & (chance("change") < F.lit(rate))
+        rows = rows.withColumn("t", t).withColumn("d", F.when(changes, laplace).otherwise(0.0))
+        so_far = Window.partitionBy("draw").orderBy("ds")
+        drift = F.col("t") * F.sum("d").over(so_far) - F.sum(F.col("d") * F.col("t")).over(so_far)
+        noise = F.lit(self.sigma) * F.sqrt(-2.0 * F.ln(1.0 - chance("noise"))) * F.cos(chance("angle") * (2.0 * math.pi))
+        return rows.select("ds", "draw", (drift + noise).alias("error"))
+
+    def predict_by_draws(self, df: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
+        """``ds, yhat, yhat_lower, yhat_upper`` with exact quantiles of the draws as limits."""
+        low, high = 0.5 - self.level / 2.0, 0.5 + self.level / 2.0
+        limits = self.draws(df, draws, seed).groupBy("ds").agg(F.percentile("error", F.array(F.lit(low), F.lit(high))).alias("q"))
+        rows, _ = design_columns(df.withColumn("ds", F.col("ds").cast("date")), self.design, self.span, self.calendar)
+        back = F.expm1 if self.design.multiplicative else (lambda c: c)
+        line = rows.select("ds", self._linear().alias("line")).join(materialise(limits), "ds", "left")
+        return line.select(
+            "ds", back(F.col("line")).alias("yhat"), back(F.col("line") + F.get("q", F.lit(0))).alias("yhat_lower"),
+            back(F.col("line") + F.get("q", F.lit(1))).alias("yhat_upper"),
+        )
+
     def components(self, df: DataFrame) -> DataFrame:
         """``ds`` and one column per part: trend, each cycle, holidays, each intervention and regressor.
 
@@ -176,6 +230,28 @@ def _dependent(c: np.ndarray, least: float = 1e-9) -> list[int]:
     return out
 
 
+def coordinate_descent(c: np.ndarray, xy: np.ndarray, squares: np.ndarray, sizes: np.ndarray, tolerance: float = 1e-13) -> np.ndarray:
+    """The least of ``b'cb / 2 - b'xy + sum(squares * b ** 2) / 2 + sum(sizes * |b|)``, one coefficient after the other.
+
+    The moments hold all that is needed of the rows, so a sweep costs the
+    square of the number of terms.
+    """
+    b = np.zeros(len(xy))
+    gradient = xy.astype(float).copy()  # xy - c b
+    for _ in range(100_000):
+        most = 0.0
+        for j in range(len(b)):
+            pull = gradient[j] + c[j, j] * b[j]
+            new = math.copysign(max(abs(pull) - sizes[j], 0.0), pull) / (c[j, j] + squares[j])
+            if new != b[j]:
+                gradient -= c[:, j] * (new - b[j])
+                most = max(most, abs(new - b[j]))
+                b[j] = new
+        if most <= tolerance * max(1.0, np.abs(b).max(initial=0.0)):
+            break
+    return b
+
+
 def fit(train: DataFrame, design: Design, calendar: DataFrame | None = None, level: float = 0.8) -> Fitted:
     """Fit on rows with ``ds, y`` and the regressors. Terms that never vary in training are left out.
 
@@ -207,12 +283,20 @@ def fit(train: DataFrame, design: Design, calendar: DataFrame | None = None, lev
     m = _moments(rows, [*columns, "_y"], mean, scale) / n
     c, xy, yy = m[:k, :k], m[:k, k], m[k, k]
     weights = np.array([design.penalty(t, parts[t]) for t in columns])
-    free_terms = np.flatnonzero(weights == 0.0)
+    sizes = np.array([design.sparsity(t, parts[t]) for t in columns])
+    free_terms = np.flatnonzero((weights == 0.0) & (sizes == 0.0))
     tied = [columns[free_terms[j]] for j in _dependent(c[np.ix_(free_terms, free_terms)])]
     if tied:
         raise ValueError(f"terms depend linearly on others; leave them out or give them a penalty: {', '.join(tied)}")
-    inverse = np.linalg.inv(c + np.diag(weights)) if k else np.zeros((0, 0))
-    beta = inverse @ xy
+    if sizes.any():
+        # errors are those of a fit of the terms that are left
+        beta = coordinate_descent(c, xy, weights, sizes)
+        live = np.flatnonzero((beta != 0.0) | (sizes == 0.0))
+        inverse = np.zeros((k, k))
+        inverse[np.ix_(live, live)] = np.linalg.pinv(c[np.ix_(live, live)] + np.diag(weights[live]))
+    else:
+        inverse = np.linalg.inv(c + np.diag(weights)) if k else np.zeros((0, 0))
+        beta = inverse @ xy
     free = max(n - 1 - float(np.trace(c @ inverse)), 1.0)
     sigma = math.sqrt(max(float(yy - 2 * beta @ xy + beta @ c @ beta), 0.0) * n / free)
     spread = inverse / np.outer(scale[:k], scale[:k]) * (sigma * sigma / n)

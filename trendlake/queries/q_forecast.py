@@ -113,6 +113,60 @@ def changepoint_trend_fit(spark, d):
     return rounded(fitted.coefficient_table(spark).select("term", "coefficient"), ["coefficient"], 5)
 
 
+# One hinge at 0.8 of the training range beside the trend: both the plain and the sparse fit have closed forms.
+_HINGE = """d AS (SELECT CAST(o_orderdate AS DATE) AS ds, sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY 1),
+lim AS (SELECT min(date_diff('day', DATE '1970-01-01', ds)) AS lo, max(date_diff('day', DATE '1970-01-01', ds)) AS hi, max(ds) AS last FROM d WHERE year(ds) < 2000),
+x AS (SELECT ds, y, (date_diff('day', DATE '1970-01-01', ds) - lo) / CAST(hi - lo AS DOUBLE) AS t FROM d, lim WHERE year(ds) < 2000),
+m AS (SELECT count(*) AS n, avg(t) AS mt, avg(h) AS mh, avg(y) AS my, stddev_pop(t) AS st, stddev_pop(h) AS sh, corr(t, h) AS r,
+             covar_pop(t, y) / stddev_pop(t) AS ty, covar_pop(h, y) / stddev_pop(h) AS hy FROM (SELECT *, greatest(t - 0.8::DOUBLE, 0) AS h FROM x)),
+p AS (SELECT *, hy - r * ty AS pull FROM m),
+b AS (SELECT *, sign(pull) * greatest(abs(pull) - {size}, 0) / (1 - r * r) AS zh FROM p),
+f AS (SELECT *, zh / sh AS bh, (ty - r * zh) / st AS bt FROM b),
+g AS (SELECT *, my - bt * mt - bh * mh AS b0 FROM f),
+e AS (SELECT sum(pow(y - b0 - bt * t - bh * greatest(t - 0.8::DOUBLE, 0), 2)) AS sse FROM x, g)"""
+
+
+@query("sparse_changepoint_fit", "WITH " + _HINGE.format(size="0.001::DOUBLE") + """
+SELECT 'trend' AS term, round(bt, 5) AS value FROM g UNION ALL SELECT 'hinge_1', round(bh, 5) + 0.0 FROM g UNION ALL SELECT 'intercept', round(b0, 5) FROM g
+UNION ALL SELECT 'residual_sum', round(sse, 5) FROM e""")
+def sparse_changepoint_fit(spark, d):
+    _, train, _ = _parts(spark, d)
+    fitted = R.fit(train, R.Design(changepoints=1, sparse=(("changepoints", 0.001),)))
+    terms = fitted.coefficient_table(spark).select("term", F.col("coefficient").alias("value"))
+    seen = fitted.predict(train).join(train, "ds")
+    return rounded(terms.unionByName(seen.agg(F.lit("residual_sum").alias("term"), F.sum((F.col("y") - F.col("yhat")) ** 2).alias("value"))), ["value"], 5)
+
+
+@query("sparse_changepoint_terms")
+def sparse_changepoint_terms(spark, d):
+    _, train, _ = _parts(spark, d)
+    design = R.Design(cycles=(("yearly", 365.25, 3),), changepoints=25, sparse=(("changepoints", 0.002),))
+    return rounded(R.fit(train, design).coefficient_table(spark).select("term", "coefficient"), ["coefficient"], 5)
+
+
+# Chances are hashes of seed, draw and day, so SQL draws the same future slope changes.
+_CHANCE = "(('0x' || substr(md5('7|' || draw || '|' || strftime(ds, '%Y-%m-%d') || '|{name}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+_DRAWS = f"""WITH {_HINGE.format(size="0.0::DOUBLE")},
+day AS (SELECT last + CAST(k AS INTEGER) AS ds, lo, hi FROM lim, range(1, 366) r(k)),
+u AS (SELECT ds, draw, (date_diff('day', DATE '1970-01-01', ds) - lo) / CAST(hi - lo AS DOUBLE) AS t, hi - lo AS days,
+             {_CHANCE.format(name="change")} AS uc, {_CHANCE.format(name="size")} - 0.5 AS us, {_CHANCE.format(name="noise")} AS un,
+             {_CHANCE.format(name="angle")} AS ua FROM day, range(1, 201) k(draw)),
+c AS (SELECT u.*, CASE WHEN uc < 1.0::DOUBLE / days THEN -abs(bh) * sign(us) * ln(greatest(1 - 2 * abs(us), 1e-16::DOUBLE)) ELSE 0.0 END AS d FROM u, g),
+w AS (SELECT ds, t, t * sum(d) OVER o - sum(d * t) OVER o + sqrt(sse / (n - 3)) * sqrt(-2 * ln(1 - un)) * cos(ua * 2 * pi()) AS err
+      FROM c, e, m WINDOW o AS (PARTITION BY draw ORDER BY ds)),
+z AS (SELECT ds, max(t) AS t, quantile_cont(err, 0.1) AS lo, quantile_cont(err, 0.9) AS hi FROM w GROUP BY ds)
+SELECT strftime(ds, '%Y-%m-%d') AS ds, round(y, 4) AS yhat, round(y + lo, 4) AS yhat_lower, round(y + hi, 4) AS yhat_upper
+FROM (SELECT z.*, b0 + bt * t + bh * (t - 0.8::DOUBLE) AS y FROM z, g)"""
+
+
+@query("forecast_widening_interval", _DRAWS)
+def forecast_widening_interval(spark, d):
+    _, train, _ = _parts(spark, d)
+    fitted = R.fit(train, R.Design(changepoints=1))
+    out = fitted.predict_by_draws(R.future_frame(train, 365, with_history=False), 200, seed=7)
+    return rounded(out, ["yhat", "yhat_lower", "yhat_upper"], 4).withColumn("ds", F.col("ds").cast("string"))
+
+
 _EDGES = [0.0, 0.95, 1.05, 100.0]
 _YEARLY = R.Design(cycles=(("long_cycle", 40 * 365.25, 1),), event_years=(1999,))
 
