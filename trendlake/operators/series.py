@@ -1,22 +1,54 @@
 """Time series: resampling, rolling figures, interpolation, calendars and verification.
 
-Rolling operators work on a resampled series (one row per hour or day and
-series key), whose length is bounded by the calendar. ``hourly`` and
-``daily_sum`` make such a series from raw rows with map-side sums.
+Rolling operators take series of any length. Rows are numbered in order and
+cut into stretches; rows near the end of a stretch are copied to the next one
+as far as a window reaches, so that every window finds its rows in one place
+and no task holds a whole series. Interpolation needs no copies: each stretch
+is told the last value before it and the first one after it. ``hourly`` and
+``daily_sum`` make series from raw rows with map-side sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trendlake.functions.dates import date_parts
+from trendlake.operators.joins import number_rows
+from trendlake.operators.quantiles import null_safe_join
+from trendlake.session import materialise
 
 
-def _window(order: str, by: Sequence[str], before: int, after: int):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(before, after)
+#: Rows of a stretch, without the copies of its neighbours' rows.
+STRETCH = 1 << 16
+_AT, _STRETCH, _OWN = "_series_at", "_series_stretch", "_series_own"
+
+
+def _numbered(df: DataFrame, order: str, by: Sequence[str]) -> DataFrame:
+    """Rows numbered series by series in order; rows of one time in any order."""
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate([*by, order])], F.monotonically_increasing_id().alias("row"))
+    return number_rows(df.withColumn("_series_key", key), "_series_key", _AT).drop("_series_key")
+
+
+def _stretches(df: DataFrame, order: str, by: Sequence[str], before: int, after: int) -> DataFrame:
+    """Every stretch with the ``before`` rows in front of it and the ``after`` rows behind it."""
+    def stretch(at: Column) -> Column:
+        return F.floor(F.greatest(at, F.lit(0)) / STRETCH)
+
+    at = F.col(_AT)
+    copies = _numbered(df, order, by).withColumn(_STRETCH, F.explode(F.sequence(stretch(at - after), stretch(at + before))))
+    return copies.withColumn(_OWN, F.col(_STRETCH) == stretch(at))
+
+
+def _centred(df: DataFrame, order: str, by: Sequence[str], window: int, column: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+    """``df`` with a figure of the ``window`` rows around each row."""
+    before, after = window // 2, (window - 1) // 2
+    rows = _stretches(df, order, by, before, after)
+    w = Window.partitionBy(*by, _STRETCH).orderBy(_AT).rowsBetween(-before, after)
+    # the figure is computed before the copies go
+    return rows.withColumn(name, column(w)).filter(_OWN).drop(_AT, _STRETCH, _OWN)
 
 
 def hour_start(ts: str) -> Column:
@@ -50,9 +82,8 @@ def rolling_mean(
     by: Sequence[str] = (), name: str = "rolling",
 ) -> DataFrame:
     """Centred mean over ``window`` rows; null with fewer than ``min_periods`` values (default: all)."""
-    w = _window(order, by, -(window // 2), (window - 1) // 2)
-    enough = F.count(value).over(w) >= (window if min_periods is None else min_periods)
-    return df.withColumn(name, F.when(enough, F.avg(value).over(w)))
+    least = window if min_periods is None else min_periods
+    return _centred(df, order, by, window, lambda w: F.when(F.count(value).over(w) >= least, F.avg(value).over(w)), name)
 
 
 def rolling_corr(
@@ -60,10 +91,9 @@ def rolling_corr(
     by: Sequence[str] = (), name: str = "rolling_r",
 ) -> DataFrame:
     """Centred Pearson correlation over ``window`` rows."""
-    w = _window(order, by, -(window // 2), (window - 1) // 2)
     both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-    enough = F.count(both).over(w) >= (window if min_periods is None else min_periods)
-    return df.withColumn(name, F.when(enough, F.corr(a, b).over(w)))
+    least = window if min_periods is None else min_periods
+    return _centred(df, order, by, window, lambda w: F.when(F.count(both).over(w) >= least, F.corr(a, b).over(w)), name)
 
 
 def median_filter(
@@ -71,29 +101,41 @@ def median_filter(
     name: str | None = None,
 ) -> DataFrame:
     """Null out values further than k window deviations from the window median."""
-    w = _window(order, by, -(window // 2), (window - 1) // 2)
-    away = F.abs(F.col(value) - F.percentile(value, F.lit(0.5)).over(w)) > k * F.stddev_samp(value).over(w)
-    return df.withColumn(name or value, F.when(~F.coalesce(away, F.lit(False)), F.col(value)))
+    def near(w: WindowSpec) -> Column:
+        away = F.abs(F.col(value) - F.percentile(value, F.lit(0.5)).over(w)) > k * F.stddev_samp(value).over(w)
+        return F.when(~F.coalesce(away, F.lit(False)), F.col(value))
+
+    # under a name of its own, as the figure must not replace what neighbours read
+    found = _centred(df, order, by, window, near, "_series_near")
+    out = found.withColumn(name or value, F.col("_series_near"))
+    return out.drop("_series_near")
 
 
 def interpolate(df: DataFrame, order: str, value: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """Linear by position: leading gaps stay null, trailing gaps take the last value."""
-    seq = Window.partitionBy(*by).orderBy(order)
-    back = seq.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = seq.rowsBetween(0, Window.unboundedFollowing)
-    rn = F.row_number().over(seq)
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_rn").alias("i"), F.col(value).cast("double").alias("v")))
-    t = df.withColumn("_rn", rn)
-    t = t.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
-    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(
-        F.col("_rn") - F.col("_a.i"), F.col("_b.i") - F.col("_a.i")
-    )
+    by = list(by)
+    keys = [*by, _STRETCH]
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(_AT).alias("i"), F.col(value).cast("double").alias("v")))
+    t = _numbered(df, order, by).withColumn(_STRETCH, F.floor(F.col(_AT) / STRETCH))
+    t = materialise(t.withColumn("_known", known))
+    # one row for each stretch of a series
+    ends = t.groupBy(*keys).agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
+    line = Window.partitionBy(*by).orderBy(_STRETCH)
+    carried = materialise(ends.select(
+        *keys, F.last("_last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    ))
+    seq = Window.partitionBy(*keys).orderBy(_AT)
+    t = null_safe_join(t, carried, keys)
+    t = t.withColumn("_a", F.coalesce(F.last("_known", True).over(seq.rowsBetween(Window.unboundedPreceding, 0)), "_before"))
+    t = t.withColumn("_b", F.coalesce(F.first("_known", True).over(seq.rowsBetween(0, Window.unboundedFollowing)), "_after"))
+    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(F.col(_AT) - F.col("_a.i"), F.col("_b.i") - F.col("_a.i"))
     filled = (
         F.when(F.col(value).isNotNull(), F.col(value).cast("double"))
         .when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), between)
         .otherwise(F.col("_a.v"))
     )
-    return t.withColumn(name or value, filled).drop("_rn", "_a", "_b")
+    return t.withColumn(name or value, filled).drop(_AT, _STRETCH, "_known", "_before", "_after", "_a", "_b")
 
 
 def seasonal_cycle(df: DataFrame, ts: str, value: str, window: int = 720, min_periods: int = 20) -> DataFrame:
