@@ -407,6 +407,14 @@ def test_poisson_inverts_the_distribution(spark):
     assert got[2] == pytest.approx(150, rel=0.01) and got[3] == pytest.approx(150, rel=0.06)
 
 
+def test_mixing_keeps_columns_of_any_name(odd):
+    names = ("_n", "_own", "_source", "_rate", "_count", "copy", "shuffle_key")
+    out = mixing.mix_sources(odd.withColumns({c: F.lit("keep") for c in names}))
+    assert out.columns == [c for c in odd.columns] + list(names[:5]) + ["copy", "shuffle_key"]
+    assert {tuple(r) for r in out.select(*names[:5]).distinct().collect()} == {("keep",) * 5}
+    assert out.drop(*names[:5]).exceptAll(mixing.mix_sources(odd)).isEmpty()
+
+
 def test_mixing_of_odd_and_empty_tables(odd, none):
     out = mixing.mix_sources(odd)
     assert set(odd.columns) < set(out.columns)

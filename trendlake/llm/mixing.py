@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.tables import empty_if_null, written
+from trendlake.llm.tables import empty_if_null, unused, written
 
 SEED = 17
 #: A Poisson mean above this is drawn as a sum of equal smaller ones (exp stays far from zero).
@@ -81,16 +81,19 @@ def mix_sources(
 ) -> DataFrame:
     """``df`` replicated to the target weights, with ``copy`` (from 1) and ``shuffle_key``, in order of the key.
 
-    Sizes are code points of text. ``weights`` has ``source, weight``.
+    Sizes are code points of text. ``weights`` has ``source, weight``. Columns
+    of ``df`` named ``copy`` or ``shuffle_key`` are replaced, all others kept.
     """
+    df = df.drop("copy", "shuffle_key")
+    own, origin, rate, count = (unused(c, df.columns) for c in ("_own", "_source", "_rate", "_count"))
     sizes = written(
         df.groupBy(empty_if_null(source).alias("source")).agg(F.sum(F.length(empty_if_null(text))).cast("double").alias("size"))
     )
-    rates = written(rates_by_size(sizes, weights)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = written(rates_by_size(sizes, weights)).select(F.col("source").alias(origin), F.col("rate").alias(rate))
     drawn = (
-        df.withColumns({"_own": own_key(df, id_col), "_source": empty_if_null(source)}).join(rates, "_source")
-        .withColumn("_n", copies(F.coalesce(F.col(id_col).cast("string"), F.col("_own")), F.col("_rate"), seed)).filter("_n > 0")
-        .select(*df.columns, "_own", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("_own"), F.col("copy")))  # nulls add nothing
+        df.withColumns({own: own_key(df, id_col), origin: empty_if_null(source)}).join(rates, origin)
+        .withColumn(count, copies(F.coalesce(F.col(id_col).cast("string"), F.col(own)), F.col(rate), seed)).filter(F.col(count) > 0)
+        .select(*df.columns, own, F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy"))
+        .withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col(own), F.col("copy")))  # nulls add nothing
     )
-    return (drawn.sort("shuffle_key", F.col(id_col), "_own", "copy") if shuffle else drawn).drop("_own")
+    return (drawn.sort("shuffle_key", F.col(id_col), own, "copy") if shuffle else drawn).drop(own)

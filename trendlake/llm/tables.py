@@ -46,6 +46,14 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of it with more underscores in front that is no column (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def empty_if_null(column: str | Column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column.cast("string"), F.lit(""))

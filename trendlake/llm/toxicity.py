@@ -194,7 +194,9 @@ def fit_toxicity(
 ) -> Model:
     """The classifier. Without labelled rows of both classes the seeds alone are the voters."""
     chosen = sampled(labels, id_col, label, train, sample)
-    got = _features_of(docs.join(F.broadcast(chosen), id_col).select(F.col("label"), F.col(text).alias("text"))).toPandas()
+    got = _features_of(
+        docs.select(F.col(id_col), F.col(text).alias("text")).join(F.broadcast(chosen), id_col).select("label", "text")
+    ).toPandas()
     rows, gold = Rows.of(got["at"]), got["label"].to_numpy(float)
     weight = copy_weights(rows)
     found = find_voters(rows, gold, weight) if len(gold) else np.zeros(0, dtype=np.int64)
