@@ -30,26 +30,26 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _part(v: Column, low: Column, high: Column) -> Column:
+def _part(v: Column, low: Column, high: Column, bins: int) -> Column:
     """The part of the range a value is in, rising with the value. Infinite values and NaN have parts of their own."""
     half, width = v * 0.5 - low * 0.5, high * 0.5 - low * 0.5  # halves, as the range itself may overflow
-    inner = F.when(width > 0, F.least(F.floor(half / width * BINS), F.lit(BINS - 1))).otherwise((v > low).cast("long"))
+    inner = F.when(width > 0, F.least(F.floor(half / width * bins), F.lit(bins - 1))).otherwise((v > low).cast("long"))
     infinite = F.lit(float("inf"))
-    return F.when(F.isnan(v), BINS + 1).when(v == infinite, BINS).when(v == -infinite, -1).otherwise(inner).cast("long")
+    return F.when(F.isnan(v), bins + 1).when(v == infinite, bins).when(v == -infinite, -1).otherwise(inner).cast("long")
 
 
 def _finite(v: Column) -> Column:
     return F.when(F.abs(v) < float("inf"), v)
 
 
-def _narrowed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _narrowed(rows: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """The parts that hold a wanted rank: keys, low, high, flow, fhigh, before, ranks.
 
-    ``rows`` carry their bracket. A bracket has at most ``BINS`` parts and a
+    ``rows`` carry their bracket. A bracket has at most ``bins`` parts and a
     few more, so the running sums over them are short.
     """
     at = ["low", "high", "flow", "fhigh", "before", "ranks"]
-    counted = rows.groupBy(*keys, *at, _part(F.col("value"), F.col("flow"), F.col("fhigh")).alias("part")).agg(
+    counted = rows.groupBy(*keys, *at, _part(F.col("value"), F.col("flow"), F.col("fhigh"), bins).alias("part")).agg(
         F.count(F.lit(1)).alias("c"), F.min("value").alias("l"), F.max("value").alias("h"),
         F.min(_finite(F.col("value"))).alias("fl"), F.max(_finite(F.col("value"))).alias("fh"),
     )
@@ -63,13 +63,16 @@ def _narrowed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], extra: Sequence[Column] = (),
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float],
+    extra: Sequence[Column] = (), accuracy: int | None = None,
 ) -> DataFrame:
     """``by``, ``metric``, ``n`` and array ``q`` (one entry per probability), missing values ignored.
 
     NaN counts as larger than every number. ``extra`` are further aggregates
-    of ``value``, computed in the first pass.
+    of ``value``, computed in the first pass. ``accuracy`` is the number of
+    parts of a range (``BINS`` if none is given); the answer does not depend on it.
     """
+    bins = max(accuracy or BINS, 2)
     by = list(by)
     keys = [*by, "metric"]
     long = (
@@ -92,7 +95,7 @@ def group_quantiles(
     state = whole.filter(~single)
     rows = null_safe_join(long, state, keys)
     for turn in range(1_100):  # far beyond what the digits of a double allow
-        parts = materialise(_narrowed(rows, keys))
+        parts = materialise(_narrowed(rows, keys, bins))
         found.append(parts.filter(single))
         state = parts.filter(~single)
         if state.isEmpty():
