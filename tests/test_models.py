@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -267,6 +268,19 @@ def test_half_split_replicates(spark, points):
     assert [r["range"] for r in out] == ["0.0-1.0", "1.0-100.0"] and all(r["n"] == 4 for r in out)
 
 
+def test_half_split_with_an_empty_range(spark, points):
+    rows = forecast.half_split_replication(points, ["id"], ["u", "v"], [0, 100, 200], forecast.Design()).collect()
+    r = {x["range"]: x for x in rows}["100.0-200.0"]
+    assert math.isnan(r["r"]) and math.isnan(r["r2"]) and r["mae"] == 0.0 and r["n"] == 4
+
+
+def test_correlation_of_a_constant(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 2.0), ("a", 3.0, None), ("b", 1.0, 2.0), ("b", 2.0, 1.0), ("c", None, 1.0), ("d", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "split string, yhat double, y double")
+    got = {r["split"]: r["r"] for r in series.accuracy(df, ["split"]).collect()}
+    assert math.isnan(got["a"]) and got["b"] == pytest.approx(-1.0) and got["c"] is None and math.isnan(got["d"])
+
+
 def test_neighbouring_holidays_share_a_day(spark):
     df = series_frame(spark, 1461, lambda i: 10.0 + (3.0 if (dt.date(2010, 1, 1) + dt.timedelta(days=i)).strftime("%m%d") == "1226" else 0.0))
     days = [(dt.date(y, 12, d), name) for y in range(2010, 2015) for d, name in ((25, "Christmas Day"), (26, "Boxing Day"))]

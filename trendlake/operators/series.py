@@ -93,7 +93,7 @@ def rolling_corr(
     """Centred Pearson correlation over ``window`` rows."""
     both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
     least = window if min_periods is None else min_periods
-    return _centred(df, order, by, window, lambda w: F.when(F.count(both).over(w) >= least, F.corr(a, b).over(w)), name)
+    return _centred(df, order, by, window, lambda w: F.when(F.count(both).over(w) >= least, correlation(a, b, w)), name)
 
 
 def median_filter(
@@ -207,6 +207,16 @@ def attach_regressors(daily: DataFrame, regressors: Sequence[DataFrame]) -> Data
     return daily
 
 
+def correlation(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Pearson r of the rows that have both; NaN where one of them never varies, null without a row."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    seen, shared, da, db = (
+        f if over is None else f.over(over) for f in (F.count(a), F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b))
+    )
+    return F.when(seen > 0, F.coalesce(F.try_divide(shared, da * db), F.lit(float("nan"))))
+
+
 def verification(forecast: DataFrame, observed: DataFrame, how: str = "inner", clip: bool = True) -> DataFrame:
     """Forecast next to the observation by day; negative forecasts become 0 if ``clip``."""
     joined = forecast.join(observed.select("ds", "y"), "ds", how)
@@ -218,7 +228,7 @@ def verification(forecast: DataFrame, observed: DataFrame, how: str = "inner", c
 
 def accuracy(verif: DataFrame, by: Sequence[str] = (), y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Pearson r, r2 (its square), mean absolute error and rows, per split or any other group."""
-    r = F.corr(yhat, y)
+    r = correlation(yhat, y)
     return verif.groupBy(*by).agg(
         r.alias("r"), (r * r).alias("r2"), F.avg(F.abs(F.col(yhat) - F.col(y))).alias("mae"), F.count("*").alias("n")
     )
@@ -233,14 +243,14 @@ def residual_summary(verif: DataFrame, by: Sequence[str] = (), y: str = "y", yha
 
 
 def monthly_correlation(verif: DataFrame, by: Sequence[str] = (), ds: str = "ds", y: str = "y", yhat: str = "yhat") -> DataFrame:
-    return verif.groupBy(*by, F.month(ds).alias("month")).agg(F.corr(yhat, y).alias("r"), F.count("*").alias("n"))
+    return verif.groupBy(*by, F.month(ds).alias("month")).agg(correlation(yhat, y).alias("r"), F.count("*").alias("n"))
 
 
 def fit_line(verif: DataFrame, x: str = "yhat", y: str = "y") -> DataFrame:
     """The line through predicted and observed: slope, intercept, r and r2."""
     return verif.agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"), F.regr_r2(y, x).alias("r2"),
+        correlation(x, y).alias("r"), F.regr_r2(y, x).alias("r2"),
     )
 
 
