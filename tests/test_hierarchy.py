@@ -101,3 +101,20 @@ def test_candidates_stay_few(spark):
     x = np.random.default_rng(1).normal(size=(600, 2))
     places = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(x)], "grp long, id long, x double, y double")
     assert spanning_tree.candidate_edges(places).count() < 600 * 40
+
+
+@pytest.mark.parametrize("block", [1, 2, 9, 40])
+def test_blocks_of_any_size_leave_the_tree(spark, block):
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(150, 2)), np.c_[np.arange(60.0), np.full(60, 9.0)], rng.normal(-7, 1e-5, (60, 2)), [[900.0, 3.0]]]
+    places = spark.createDataFrame([(i % 2, i, *map(float, p)) for i, p in enumerate(x)], "grp long, id long, x double, y double")
+    edges = spanning_tree.lightest_tree(spanning_tree.candidate_edges(places, block)).collect()
+    for grp in (0, 1):
+        assert np.sort([r["w"] for r in edges if r["a"] % 2 == grp]) ** 0.5 == pytest.approx(prim(x[grp::2]), rel=1e-9)
+    assert all(r["a"] % 2 == r["b"] % 2 for r in edges)
+
+
+def test_rows_of_a_block_meet_no_pairs(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 2))
+    places = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(x)], "grp long, id long, x double, y double")
+    assert spanning_tree.candidate_edges(places, 256).count() < 3000 * 5
