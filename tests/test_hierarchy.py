@@ -118,3 +118,29 @@ def test_rows_of_a_block_meet_no_pairs(spark):
     x = np.random.default_rng(1).normal(size=(3000, 2))
     places = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(x)], "grp long, id long, x double, y double")
     assert spanning_tree.candidate_edges(places, 256).count() < 3000 * 5
+
+
+def test_small_and_large_groups_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    big = 2**60
+    rows = [(g, f"k{i:03d}", i + big, *map(float, p)) for g, n in (("a", 60), ("b", 7), (None, 20)) for i, p in enumerate(rng.integers(0, 12, (n, 2)))]
+    rows.append(("a", None, None, 0.0, 0.0))
+    df = spark.createDataFrame(rows, "g string, name string, id long, a double, b double")
+    for key in ("name", "id"):
+        outs = []
+        for small in (0, 30, 4096):
+            monkeypatch.setattr(hierarchy, "SMALL", small)
+            out = hierarchy.single_linkage(df, key, ["a", "b"], 1.0, by=["g"], standardize=False)
+            outs.append(sorted((tuple(r) for r in out.collect()), key=repr))
+        assert outs[0] == outs[1] == outs[2] and len(outs[0]) == len(rows)
+
+
+def test_groups_of_few_rows_need_few_jobs(spark):
+    df = spark.createDataFrame([(i % 40, i, float(i % 7), float(i % 5)) for i in range(400)], "g long, id long, a double, b double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        hierarchy.single_linkage(df, "id", ["a", "b"], 1.0, by=["g"]).collect()
+        assert len(tracker.getJobIdsForGroup("few-jobs")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

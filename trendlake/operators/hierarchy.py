@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,12 @@ from trendlake.operators.components import connected_components
 from trendlake.operators.dbscan import linked_places, standardized_plane
 from trendlake.operators.joins import number_rows
 from trendlake.operators.quantiles import null_safe_join
-from trendlake.operators.spanning_tree import spanning_tree
+from trendlake.operators.spanning_tree import prim, spanning_tree
 from trendlake.session import materialise
 
+#: Rows of a group that one task may cluster by itself.
+SMALL = 4096
+
 
 @dataclass
 class Tree:
@@ -133,6 +138,24 @@ def linkage_tree(
     return Tree(by, key, rows, places, edges)
 
 
+def _small_groups(plane: DataFrame, key: str, height: float) -> DataFrame:
+    """``plane`` with ``cluster``: a group of few rows is clustered by one task."""
+
+    def label(rows: pa.Table) -> pa.Table:
+        order, by, w = prim(rows["x"].to_numpy(), rows["y"].to_numpy())
+        part = np.zeros(rows.num_rows, np.int64)
+        linked = w <= height * height
+        for row, before, same in zip(order.tolist(), by.tolist(), linked.tolist()):
+            part[row] = part[before] if same else row
+        first = pa.table({"part": part, "key": rows[key]}).group_by("part").aggregate([("key", "min")])
+        at = np.searchsorted(np.sort(first["part"].to_numpy()), part)
+        names = first.sort_by("part")["key_min"].take(pa.array(at))
+        return rows.append_column("cluster", names.cast(rows.schema.field(key).type))
+
+    shape = plane.select("*", F.col(key).alias("cluster")).schema
+    return plane.groupBy("grp").applyInArrow(label, shape)
+
+
 def single_linkage(
     df: DataFrame, key: str, score: str | Sequence[str], height: float, by: Sequence[str] = (),
     dims: int | None = None, standardize: bool = True,
@@ -144,5 +167,13 @@ def single_linkage(
     """
     by = list(by)
     plane = _plane(df, key, score, by, dims, standardize)
-    labels = linked_places(plane, key, height)
-    return plane.join(labels, ["grp", "x", "y"]).select(*by, key, "x", "y", "cluster")
+    out = [*by, key, "x", "y", "cluster"]
+    if not by:
+        return plane.join(linked_places(plane, key, height), ["grp", "x", "y"]).select(*out)
+    sizes = materialise(plane.groupBy("grp").agg((F.count(F.lit(1)) <= SMALL).alias("small")))
+    sized = plane.join(sizes, "grp")
+    labelled = _small_groups(sized.filter("small").drop("small"), key, height).select(*out)
+    if sizes.filter(~F.col("small")).isEmpty():
+        return labelled
+    large = materialise(sized.filter(~F.col("small")).drop("small"))
+    return labelled.unionByName(large.join(linked_places(large, key, height), ["grp", "x", "y"]).select(*out))
