@@ -17,6 +17,15 @@ def explode_items(df: DataFrame, items: str, item: str, keep_empty: bool = True)
     return df.select(*[c for c in df.columns if c != items], gen(items).alias(item))
 
 
+def spread_by_key(df: DataFrame, keys: Sequence[str], rows: int = 1 << 19) -> DataFrame:
+    """Rows of a key in one part, in parts of about ``rows`` rows.
+
+    Groupings and joins by these keys need no other shuffle, and their tables
+    in memory do not grow with the input, however few splits it comes in.
+    """
+    return df.repartition(1 + df.count() // rows, *keys)
+
+
 def zero_fill(counts: DataFrame, spine: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Every row of the spine, with 0 where ``counts`` has none."""
     return spine.join(counts, list(on), "left").na.fill(0, list(values))

@@ -26,7 +26,8 @@ WITH a AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY
      b AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS top FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, n, top FROM a JOIN b USING (l_orderkey, l_linenumber)""")
 def multi_key_join(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    keys = ["l_orderkey", "l_linenumber"]
+    g = J.spread_by_key(table(spark, d, "lineitem", *keys, "l_quantity"), keys).groupBy(*keys)
     return g.agg(F.count("*").alias("n")).join(g.agg(F.max("l_quantity").alias("top")), ["l_orderkey", "l_linenumber"])
 
 
