@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trendlake.operators import basket, cluster, dbscan, features, forecast, hierarchy, series
+from trendlake.operators import basket, cluster, dbscan, features, forecast, hierarchy, joins, series
 from trendlake.operators.components import connected_components
 
 
@@ -315,3 +315,20 @@ def test_events_may_have_their_own_window(spark):
     cal = spark.createDataFrame([(dt.date(2010, 5, 1), "a", 0, 1), (dt.date(2010, 6, 1), "b", None, None)], "ds date, holiday string, lower_window int, upper_window int")
     got = {(r["holiday"], r["day"]) for r in series.event_windows(cal, -1, 0).collect()}
     assert got == {("a", 0), ("a", 1), ("b", -1), ("b", 0)}
+
+
+def test_spread_vectors_come_in_small_parts(spark, monkeypatch):
+    df = spark.range(1000, numPartitions=1).select(F.array((F.col("id") % 2 * 9).cast("double"), (F.col("id") % 5).cast("double")).alias("v"))
+    parts, fits = [], cluster._fits
+    monkeypatch.setattr(cluster, "_fits", lambda rows, *rest: parts.append(rows.rdd.getNumPartitions()) or fits(rows, *rest))
+    monkeypatch.setattr(cluster, "PART_ROWS", 60, raising=False)
+    assert cluster.sweep(df, "v", [2], partitions=4).k == 2 and parts == [17]
+
+
+def test_keys_are_spread_over_parts_of_like_size(spark):
+    df = spark.range(4000, numPartitions=1).select((F.col("id") % 1000).alias("a"), (F.col("id") % 3).alias("b"))
+    out = joins.spread_by_key(df, ["a", "b"], 300)
+    assert out.rdd.getNumPartitions() == 14 and out.count() == 4000
+    assert out.withColumn("p", F.spark_partition_id()).groupBy("a", "b").agg(F.count_distinct("p").alias("n")).filter("n > 1").isEmpty()
+    both = out.groupBy("a", "b").agg(F.count("*").alias("n")).join(out.groupBy("a", "b").agg(F.max("a").alias("m")), ["a", "b"])
+    assert both.filter("n > 0 and m = a").count() == 3000

@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from trendlake.session import side_by_side
 from trendlake.sources.files import hash_sample
 
+#: Rows of a part when vectors are spread: a task reads one part in every pass.
+PART_ROWS = 1 << 18
+
 
 @dataclass
 class Sweep:
@@ -99,13 +102,16 @@ def sweep(
     """Fit every k and keep the one with the best silhouette, the smaller k on ties.
 
     ``partitions`` spreads the vectors evenly once before the many passes over
-    them, for inputs that come in few or uneven splits.
+    them, for inputs that come in few or uneven splits: over that many parts, or
+    over more, so that no part has more than about ``PART_ROWS`` rows.
 
     ``sample_keys`` turns on the sampled score: the rows of a share of the
     keys, chosen by their hash, are scored. Fitting always sees all rows.
     """
     rows = with_vector(df, vector).select(vector, *[k for k in sample_keys or () if k != vector])
-    rows = (rows.repartition(partitions) if partitions else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    if partitions:
+        rows = rows.repartition(max(partitions, -(-rows.count() // PART_ROWS)))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scored = rows
         if sample_keys:
