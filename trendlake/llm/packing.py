@@ -38,7 +38,11 @@ _KEPT = 500_000  # remembered words in each of two generations of a task's proce
 _BATCH_BYTES = 1 << 23
 _JOINED = 64
 #: White space in any reading.
-_BARE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BARE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A space and a word with no other space and no white space at its ends.
+_PLAIN = rf"^ [^{_BARE}](?:[^ ]*[^{_BARE}])?$"
+#: A letter or digit in every version of Unicode, and the marks from which the tokenizer parts it.
+_STEM, _MARKS = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", r"[!-/:-@\[-`{-~]+"
 
 
 class WordEncoder:
@@ -46,11 +50,12 @@ class WordEncoder:
 
     The tokenizer never joins across a single space between two visible
     characters, so the stretches between such spaces can be encoded one by
-    one. The distinct stretches of a batch are found first; those not seen
-    before go through the tokenizer in one call, and the ids of all texts are
-    then gathered. A text that holds one of the tokenizer's added tokens is
-    encoded as a whole. Of two generations of remembered words the older is
-    dropped when the newer is full.
+    one; nor across the end of a word before the marks that close it, so words
+    are remembered without them. The distinct stretches of a batch are found
+    first; those not seen before go through the tokenizer in one call, and the
+    ids of all texts are then gathered. A text that holds one of the
+    tokenizer's added tokens is encoded as a whole. Of two generations of
+    remembered words the older is dropped when the newer is full.
     """
 
     def __init__(self, path: str):
@@ -58,13 +63,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _known(self, stretches: list[str]) -> list[bytes]:
-        new, old = self.new, self.old
-        out = [new.get(s) or old.get(s) for s in stretches]
+        out = list(map(self.new.get, stretches))
         missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = self.old.get(stretches[i])
+        missing = [i for i in missing if out[i] is None]
         if missing:
             for i, ids in zip(missing, self._encoded([stretches[i] for i in missing])):
                 out[i] = ids
@@ -74,77 +84,103 @@ class WordEncoder:
                     self.new[stretches[i]] = ids
         return out
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encoded(self, stretches: list[str]) -> list[bytes]:
-        """Ids of unseen stretches. Those between good boundaries go through the tokenizer many at a time."""
-        plain = [i for i, s in enumerate(stretches) if len(s) > 1 and s[0] == " " and not _bare(s[1]) and not _bare(s[-1])]
-        rest = sorted(set(range(len(stretches))) - set(plain))
-        runs = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)] + [[i] for i in rest]
-        texts = ["".join([stretches[i] for i in run]) for run in runs]
+        """Ids of unseen stretches. Plain words go through the tokenizer many at a time: each begins at a token that begins with a space."""
+        marked = pc.match_substring_regex(pa.array(stretches, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(marked).tolist(), np.flatnonzero(~marked).tolist()
+        runs = [plain[a : a + _JOINED] for a in range(0, len(plain), _JOINED)]
         out = [b""] * len(stretches)
-        for run, e in zip(runs, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            if len(run) == 1:
-                out[run[0]] = ids.tobytes()
+        for run, ids in zip(runs, self._ids(["".join([stretches[i] for i in run]) for run in runs])):
+            cuts = np.flatnonzero(self.spaced[ids]) * 4
+            if len(cuts) != len(run):  # not a tokenizer that begins words so
+                rest += run
                 continue
-            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(starts, np.cumsum([len(stretches[i]) for i in run])) * 4
-            data, a = ids.tobytes(), 0
-            for i, b in zip(run, cuts.tolist()):
+            data, cuts = ids.tobytes(), [*cuts.tolist(), len(ids) * 4]
+            for i, a, b in zip(run, cuts, cuts[1:]):
                 out[i] = data[a:b]
-                a = b
+        for i, ids in zip(rest, self._ids([stretches[i] for i in rest])):
+            out[i] = ids.tobytes()
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of every text as little-endian 32-bit bytes."""
-        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        out = self._spaced(["" if i in set(whole) else t for i, t in enumerate(texts)] if whole else texts)
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        added = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        out = self._spaced(pc.if_else(pa.array(added), "", texts) if added.any() else texts)
+        for i in np.flatnonzero(added).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out
 
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    def _spaced(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.split_pattern(texts, " ")
         found = lists.flatten().dictionary_encode()
-        words, codes = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+        words, codes = found.dictionary, found.indices.to_numpy(zero_copy_only=False)
 
         def marked(pattern: str) -> np.ndarray:
-            return pc.match_substring_regex(found.dictionary, pattern).to_numpy(zero_copy_only=False)[codes]
+            return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)[codes]
 
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         # where a word may not be parted from the one before or after it
-        before, after = marked(f"^(?:$|{_BARE})"), marked(f"(?:^|{_BARE})$")
+        before, after = marked(f"^(?:$|[{_BARE}])"), marked(f"(?:^|[{_BARE}])$")
         first = np.zeros(len(codes), dtype=bool)
         first[ends[:-1]] = first[:1] = True
         opens = np.flatnonzero(first | ~before & ~np.concatenate([[True], after[:-1]]))
         size = np.diff(np.append(opens, len(codes)))
         # a single word inside a text is known by its code, every other stretch is written out
-        items = codes[opens].astype(np.int64)
         other = np.flatnonzero((size > 1) | first[opens])
-        stretches = [
-            ("" if first[a] else " ") + " ".join([words[c] for c in codes[a : a + n]]) for a, n in zip(opens[other].tolist(), size[other].tolist())
-        ]
         inside = np.ones(len(opens), dtype=bool)
         inside[other] = False
+        items = codes[opens].astype(np.int64)
         used = np.flatnonzero(np.bincount(items[inside], minlength=len(words)))
         place = np.zeros(len(words), dtype=np.int64)
         place[used] = np.arange(len(used))
-        names, at = np.unique(np.array(stretches, dtype=object), return_inverse=True) if stretches else (np.array([], dtype=object), np.zeros(0, dtype=np.int64))
-        items[inside], items[other] = place[items[inside]], len(used) + at
-        ids = self._known([*(" " + words[c] for c in used.tolist()), *names.tolist()])
-        joined, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        start = np.cumsum(sizes) - sizes
-        each = sizes[items]
-        upto = np.cumsum(each)
-        flat = joined[np.repeat(start[items] - (upto - each), each) + np.arange(int(each.sum()))].tobytes() if len(items) else b""
-        edges = np.concatenate([[0], upto])[np.searchsorted(opens, np.concatenate([[0], ends]))] * 4
-        return [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        pieces = _strings(words.take(pa.array(codes[_ranges(opens[other], size[other])])))
+        names: dict[str, int] = {}
+        named, a = [], 0
+        for head, n in zip(first[opens[other]].tolist(), size[other].tolist()):
+            named.append(names.setdefault(("" if head else " ") + " ".join(pieces[a : a + n]), len(names)))
+            a += n
+        items[inside], items[other] = place[items[inside]], len(used) + np.array(named, dtype=np.int64)
+        # a word is its stem and its marks, either of which many words share
+        singles = words.take(pa.array(used))
+        stems = pc.replace_substring_regex(singles, f"({_STEM}){_MARKS}$", r"\1")
+        cut = pc.not_equal(stems, singles)
+        marks = pc.replace_substring_regex(singles.filter(cut), f"(?s)^.*{_STEM}({_MARKS})$", r"\1").dictionary_encode()
+        stems = stems.dictionary_encode()
+        n = len(stems.dictionary), len(marks.dictionary)
+        ids = self._known([*(" " + s for s in _strings(stems.dictionary)), *_strings(marks.dictionary), *names]) + [b""]
+        pairs = np.full((len(used) + len(names), 2), len(ids) - 1)
+        pairs[: len(used), 0] = stems.indices
+        pairs[np.flatnonzero(cut), 1] = n[0] + marks.indices.to_numpy(zero_copy_only=False)
+        pairs[len(used) :, 0] = sum(n) + np.arange(len(names))
+        flat, sizes = _gathered(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64), pairs.ravel())
+        flat, each = _gathered(flat, sizes.reshape(-1, 2).sum(axis=1), items)
+        data = flat.tobytes()
+        edges = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(opens, np.concatenate([[0], ends]))] * 4
+        return [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
-def _bare(c: str) -> bool:
-    return c.isspace() or c == "\u180e"
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``starts``, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _gathered(joined: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of arrays that lie joined, those with the numbers ``items``, joined, and their sizes."""
+    each = sizes[items]
+    return joined[_ranges((np.cumsum(sizes) - sizes)[items], each)], each
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
