@@ -34,8 +34,8 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces that one (length, hash group) holds on average in the fullest length.
 GROUP_ROWS = 200_000
-_KEPT = 500_000  # remembered words in each of two generations of a task's process
-_BATCH_BYTES = 1 << 23
+_KEPT = 400_000  # remembered words in each of two generations of a task's process
+_BATCH_BYTES = 1 << 21
 _JOINED = 64
 #: White space in any reading.
 _BARE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -193,16 +193,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Bounds of stretches of texts of bounded size, one text at least."""
     a, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > a and held + len(t) > _BATCH_BYTES:
+    for i, n in enumerate(sizes):
+        if i > a and held + n > _BATCH_BYTES:
             yield a, i
             a, held = i, 0
-        held += len(t)
-    if a < len(texts):
-        yield a, len(texts)
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, ids: bool = False) -> DataFrame:
@@ -210,33 +210,34 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
 
     A document is its token ids and ``END_ID``; null text is just the latter.
     Only documents above ``length`` are cut; the first piece takes what does
-    not fill whole pieces.
+    not fill whole pieces. A task holds the tokens of about ``_BATCH_BYTES``
+    of text at a time.
     """
 
-    def run(frames):
+    def run(batches):
         code = encoder(tokenizer)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for frame in frames:
-            rows = []
-            keys, texts = frame["id"].tolist(), frame["text"].tolist()
-            encoded = (e for a, b in _parts(texts) for e in code.encode_all(texts[a:b]))
-            for key, data in zip(keys, encoded):
-                data += end
-                n = len(data) // 4
-                start, piece = 0, 0
-                while start < n:
-                    take = (n - start) % length or length
-                    part = data[4 * start : 4 * (start + take)]
-                    row = (key, piece, start, take, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, dtype="<u4").astype(np.int64)) if ids else row)
-                    start, piece = start + take, piece + 1
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
-            out["id"] = out["id"].astype("Int64" if whole else object)
-            yield out
+        for batch in batches:
+            keys, texts = batch.column("id"), batch.column("text")
+            for a, b in _parts(pc.binary_length(texts).to_pylist()):
+                encoded = [data + end for data in code.encode_all(texts.slice(a, b - a))]
+                total = np.array([len(data) // 4 for data in encoded], dtype=np.int64)
+                count = -(-total // length)
+                row = np.repeat(np.arange(b - a), count)
+                piece = _ranges(np.zeros(b - a, dtype=np.int64), count)
+                stop = total[row] - (count[row] - 1 - piece) * length
+                start = np.where(piece == 0, 0, stop - length)
+                parts = [encoded[r][4 * x : 4 * y] for r, x, y in zip(row.tolist(), start.tolist(), stop.tolist())]
+                crc = np.array([zlib.crc32(part) for part in parts], dtype=np.int64)
+                columns = [keys.slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, stop - start, crc))]
+                if ids:
+                    edges = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(edges, np.frombuffer(b"".join(parts), "<u4").astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
 
     kind = df.schema[id_col].dataType.simpleString()
     whole = kind in ("bigint", "int", "smallint", "tinyint")
-    return df.select(F.col(id_col).cast("long" if whole else "string").alias("id"), empty_if_null(text).alias("text")).mapInPandas(
+    return df.select(F.col(id_col).cast("long" if whole else "string").alias("id"), empty_if_null(text).alias("text")).mapInArrow(
         run, f"id {'long' if whole else 'string'}, piece int, start long, length long, ids_crc32 long" + (", ids array<bigint>" if ids else "")
     ).withColumnRenamed("id", id_col)
 
