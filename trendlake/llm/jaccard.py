@@ -14,6 +14,9 @@ again. Members of different components under one leader are compared by what
 tells them from it: few tokens, most of them rare. Pairs under different
 leaders that share a signature are screened by their heads. What is left is
 verified on whole sets, so no link is lost and no group is paired out.
+
+The many tables in between are written in a number of files that follows the
+size of the heads, not the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.llm import words
-from trendlake.llm.tables import discard, written
+from trendlake.llm.tables import discard, parts_for, written
 from trendlake.operators.components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -166,7 +169,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pivots(near: DataFrame) -> DataFrame:
+def _pivots(near: DataFrame, parts: int | None = None) -> DataFrame:
     """rep, pivot: the near leader with most near members, or the one that leaders above it lead up to.
 
     A leader's way up is the largest leader that it or one of its near members
@@ -179,11 +182,12 @@ def _pivots(near: DataFrame) -> DataFrame:
     best = near.join(follow, "a").groupBy(F.col("b").alias("rep")).agg(
         F.max(F.struct("followers", (-F.col("a")).alias("minus"))).alias("m")
     ).select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers"))
-    members = written(best)
+    members = written(best, parts)
     over = near.join(members, F.col("b") == F.col("rep")).select(F.col("a").alias("rep"), "pivot", "followers").filter("pivot <> rep")
     best = written(
         members.unionByName(over).groupBy("rep").agg(F.max(F.struct("followers", (-F.col("pivot")).alias("minus"))).alias("m"))
-        .select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers"))
+        .select("rep", (-F.col("m.minus")).alias("pivot"), F.col("m.followers").alias("followers")),
+        parts,
     )
     discard(members)
     while True:
@@ -193,7 +197,8 @@ def _pivots(near: DataFrame) -> DataFrame:
             best.join(above, "pivot", "left").withColumn("up", F.coalesce(up, F.lit(False))).select(
                 "rep", F.when(F.col("up"), F.col("above")).otherwise(F.col("pivot")).alias("pivot"),
                 F.when(F.col("up"), F.col("more")).otherwise(F.col("followers")).alias("followers"), "up",
-            )
+            ),
+            parts,
         )
         discard(best)
         best = climbed
@@ -209,7 +214,7 @@ def _differences(compared: DataFrame, pivots: DataFrame) -> DataFrame:
     ).dropDuplicates(["rep"])
 
 
-def _within_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _within_pivots(members: DataFrame, percent: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Possible pairs ``a, b`` of different components under one leader, found in what tells them from the leader.
 
     Two sets differ by what their differences from the leader do not share.
@@ -222,7 +227,7 @@ def _within_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     order = Window.partitionBy("pivot", "rep", "n").orderBy(F.coalesce("df", F.lit(1)), "token")
     placed = tokens.join(often, ["pivot", "token"], "left").withColumn("at", F.row_number().over(order) - 1)
     widest = F.expr(f"({100 - percent} * (n + n * 100 div {percent})) div {100 + percent}")
-    placed = written(placed.filter(F.col("df").isNotNull() & (F.col("at") <= widest)))
+    placed = written(placed.filter(F.col("df").isNotNull() & (F.col("at") <= widest)), parts)
     keep = ("rep", "n", "size", "at", "component")
     x = placed.select("pivot", "token", *[F.col(c).alias(f"{c}1") for c in keep])
     y = placed.select("pivot", "token", *[F.col(c).alias(f"{c}2") for c in keep])
@@ -237,20 +242,21 @@ def _within_pivots(members: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     return pairs, placed
 
 
-def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, size: int, percent: int, frequent: int) -> DataFrame:
+def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, size: int, percent: int, frequent: int, parts: int) -> DataFrame:
     """sig, rep, n, room: every class's signatures."""
     need = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
     tokens = heads.select("rep", "digest", "n", F.explode("tokens").alias("token"))
-    often = written(tokens.groupBy("token").count().filter(F.col("count") > frequent).select("token", F.lit(True).alias("often")))
+    often = written(tokens.groupBy("token").count().filter(F.col("count") > frequent).select("token", F.lit(True).alias("often")), parts)
     rares = written(
         tokens.join(often, "token", "left").filter(F.col("often").isNull())
-        .groupBy("rep", "digest", "n").agg(F.sort_array(F.collect_list("token")).alias("rares"))
+        .groupBy("rep", "digest", "n").agg(F.sort_array(F.collect_list("token")).alias("rares")),
+        parts,
     )
     easy = rares.filter(F.size("rares") >= need)
     singles = easy.select("rep", "n", F.posexplode(F.slice("rares", F.lit(1), need)).alias("at", "sig")).select(
         "sig", "rep", "n", (F.col("n") - F.col("at")).alias("room")
     )
-    hard = written(heads.select("rep", "digest").join(easy.select("rep", "digest"), ["rep", "digest"], "left_anti"))
+    hard = written(heads.select("rep", "digest").join(easy.select("rep", "digest"), ["rep", "digest"], "left_anti"), parts)
     whole = _whole(docs, hard, id_col, text, size, percent)
     marked = (
         whole.select("id", "digest", "n", F.explode("tokens").alias("token")).join(often, "token", "left")
@@ -261,7 +267,7 @@ def jaccard_index(docs: DataFrame, heads: DataFrame, id_col: str, text: str, siz
     combos = marked.mapInArrow(
         lambda batches: _combined(percent, batches), "sig long, rep long, n long, room long"
     )
-    index = written(singles.unionByName(combos))
+    index = written(singles.unionByName(combos), parts)
     discard(often, rares, hard)
     return index
 
@@ -328,44 +334,48 @@ def linked_rows(docs: DataFrame, size: int, percent: int, frequent: int = FREQUE
     """
     id_col, text = "_row", "text"
     with_heads = written(_sets(docs, id_col, text, size, percent, whole=False, carry="_key"))
+    parts = parts_for(with_heads)
     classes = written(
         with_heads.filter("n > 0").groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+        .agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens")),
+        parts,
     )
-    sets = written(with_heads.select("id", "_key", "n", "digest"))
+    sets = written(with_heads.select("id", "_key", "n", "digest"), parts)
     discard(with_heads)
     heads = classes.filter("n > 1")
-    index = jaccard_index(docs, heads, id_col, text, size, percent, frequent)
+    index = jaccard_index(docs, heads, id_col, text, size, percent, frequent, parts)
     buckets = index.groupBy("sig").agg(
         F.count(F.lit(1)).alias("members"), F.max_by("rep", F.struct("room", -F.col("rep"))).alias("leader"),
         F.max_by(F.struct("n", "room"), F.struct("room", -F.col("rep"))).alias("first"),
     ).filter("members > 1")
     live = written(
-        index.join(buckets, "sig").select("sig", "rep", "n", "room", "leader", F.col("first.n").alias("ln"), F.col("first.room").alias("lroom"))
+        index.join(buckets, "sig").select("sig", "rep", "n", "room", "leader", F.col("first.n").alias("ln"), F.col("first.room").alias("lroom")),
+        parts,
     )
     discard(index)
 
     def whole(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-        return written(_whole(docs, heads.select("rep", "digest").join(ends, "rep", "left_semi"), id_col, text, size, percent))
+        return written(_whole(docs, heads.select("rep", "digest").join(ends, "rep", "left_semi"), id_col, text, size, percent), parts)
 
     star = live.filter(F.col("rep") != F.col("leader")).filter(_possible(percent, "n", "room", "ln", "lroom"))
-    near = written(_screened(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), heads, percent))
-    chosen = _pivots(near)
-    pairs = written(near.select("a", "b").union(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct())
+    near = written(_screened(star.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), heads, percent), parts)
+    chosen = _pivots(near, parts)
+    pairs = written(near.select("a", "b").union(chosen.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).distinct(), parts)
     near_sets = whole(pairs)
-    compared = written(_compared(pairs, near_sets, percent))
+    compared = written(_compared(pairs, near_sets, percent), parts)
     discard(near, pairs, near_sets)
-    first = written(compared.filter("linked").select("a", "b").distinct())
-    groups = written(_components(first))
-    pivots = written(_differences(compared, chosen).join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    first = written(compared.filter("linked").select("a", "b").distinct(), parts)
+    groups = written(_components(first, parts), parts)
+    pivots = written(_differences(compared, chosen).join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")), parts)
     grouped = written(
         live.select("sig", "rep", "n", "room").join(groups, "rep", "left").join(pivots.select("rep", "pivot"), "rep", "left")
-        .withColumns({"component": F.coalesce("component", "rep"), "pivot": F.coalesce("pivot", "rep")})
+        .withColumns({"component": F.coalesce("component", "rep"), "pivot": F.coalesce("pivot", "rep")}),
+        parts,
     )
     discard(compared, chosen, groups, live)
     apart = grouped.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("sig")
-    open_rows = written(grouped.join(apart, "sig", "left_semi"))
+    open_rows = written(grouped.join(apart, "sig", "left_semi"), parts)
     discard(grouped)
     fields = ("rep", "n", "room", "component", "pivot")
     x = open_rows.select("sig", *[F.col(c).alias(f"{c}1") for c in fields])
@@ -376,16 +386,17 @@ def linked_rows(docs: DataFrame, size: int, percent: int, frequent: int = FREQUE
         .filter(_possible(percent, "n1", "room1", "n2", "room2"))
         .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
     )
-    within, placed = _within_pivots(pivots, percent)
-    rest = written(_screened(across.union(within).distinct(), heads, percent).filter("possible"))
+    within, placed = _within_pivots(pivots, percent, parts)
+    rest = written(_screened(across.union(within).distinct(), heads, percent).filter("possible"), parts)
     discard(open_rows, pivots, placed)
     rest_sets = whole(rest)
     second = _compared(rest, rest_sets, percent).filter("linked").select("a", "b").distinct()
-    links = written(first.unionByName(second))
+    links = written(first.unionByName(second), parts)
     discard(rest, rest_sets, first)
-    final = _components(links)
+    final = _components(links, parts)
     named = written(
-        classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+        classes.select("digest", "rep").join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")),
+        parts,
     )
     discard(classes, links)
     return sets.join(named, "digest", "left").select(
@@ -393,7 +404,7 @@ def linked_rows(docs: DataFrame, size: int, percent: int, frequent: int = FREQUE
     )
 
 
-def _components(links: DataFrame) -> DataFrame:
+def _components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """rep, component for all ends of links."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    return connected_components(ends, links).withColumnRenamed("id", "rep")
+    return connected_components(ends, links, parts).withColumnRenamed("id", "rep")

@@ -13,13 +13,21 @@ WHITE = " \t\n\x0b\x0c\r"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def parts_for(table: DataFrame) -> int:
+    """How many files are enough for tables made from a written one: one a MB of it, two a core at least."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-size // 2**20))
+
+
+def written(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back, in ``parts`` files at most if given.
 
     The shuffle files behind the write are of no further use, so they are
     removed as soon as it ends instead of when the driver collects garbage.
     """
     spark = df.sparkSession
+    if parts:
+        df = df.coalesce(parts)
     path = f"{shared_folder(spark)}/trendlake/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

@@ -51,14 +51,16 @@ def clear_written(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in ``parts`` files at most if given, and read it back.
 
     Cuts lineage in a way that survives a lost executor, and gives the next
     plan real file sizes, so Spark broadcasts the table only if it is small.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/trendlake/{uuid.uuid4().hex}"
+    if parts:
+        df = df.coalesce(parts)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
