@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake.llm import jaccard, mixing, packing, pii, quality_rules
+from trendlake.llm.tables import parts_for
 from trendlake.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = jaccard.numbered(docs.select(*COLUMNS))
     linked = jaccard.linked_rows(rows.select("_row", F.col("doc_id").cast("long").alias("_key"), "text"), size=5, percent=80)
     gone = linked.filter("component < _row").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS).coalesce(parts_for(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).coalesce(parts_for(docs))
 
 
 STAGES = [

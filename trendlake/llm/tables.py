@@ -14,9 +14,9 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def parts_for(table: DataFrame) -> int:
-    """How many files are enough for tables made from a written one: one a MB of it, two a core at least."""
+    """How many files are enough for tables made from a written one: one for 2 MB of it, one a core at least."""
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * table.sparkSession.sparkContext.defaultParallelism, -(-size // 2**20))
+    return max(table.sparkSession.sparkContext.defaultParallelism, min(-(-size // 2**21), 2**20))
 
 
 def written(df: DataFrame, parts: int | None = None) -> DataFrame:
